@@ -62,7 +62,7 @@ def decoded(value: object, depth: int = 4) -> object:
             return value
         try:
             inner = _DECODER.decode(text)
-        except ValueError:
+        except (ValueError, RecursionError):
             return value
         if isinstance(inner, (int, float, bool)):
             return value
@@ -71,7 +71,7 @@ def decoded(value: object, depth: int = 4) -> object:
 
 
 def find_record(text: str | None, names: tuple[str, ...] = RECORD_FIELDS) -> dict | None:
-    """The first JSON object with one of the fields that stands in a text, whatever is around it: prose, fences, a byte order mark,
+    """The first JSON object with one of the fields (nested so deep that the parser gives up counts as broken) that stands in a text, whatever is around it: prose, fences, a byte order mark,
     quoting as a JSON string, or a list of one. None for NULL, empty, cut-off and broken JSON and for texts without a record."""
     if not text:
         return None
@@ -85,6 +85,8 @@ def find_record(text: str | None, names: tuple[str, ...] = RECORD_FIELDS) -> dic
     whole = text.strip().lstrip("﻿")
     try:
         return record(_DECODER.decode(whole))
+    except RecursionError:
+        return None
     except ValueError:
         pass
     at = 0
