@@ -17,7 +17,12 @@ from pathwright.llm.labelmodel import LabelModel
 from pathwright.session import written
 
 #: Bands and rows of the minimum hashes of title words; confidence of a match.
-BANDS, ROWS, CONFIDENT = 32, 5, 0.5
+BANDS, ROWS, CONFIDENT = 44, 6, 0.5
+#: Candidates are voted on from this share of telling words in common on: of the longer title, or of the shorter one where that is cut;
+#: with an author in common, always.
+SHARED, SHARED_CUT = 0.6, 0.5
+#: Edit distances from here on count alike.
+FAR = 40
 
 # Words that carry little of a title, and words that name a version of the same paper.
 STOP = "a an and are as at by can do does for from how in into is it its of on or over that the their through to towards toward under us use using via we what when with without evidence".split()
@@ -87,7 +92,7 @@ def minhash_keys(features: pd.Series) -> pd.Series:
 
 
 def _content(title: str) -> Column:
-    return F.array_distinct(F.filter(F.split(title, " "), lambda w: ~w.isin(*STOP) & (w != "")))
+    return F.array_distinct(F.filter(F.split(title, " "), lambda w: ~w.isin(*STOP, *VERSION) & (w != "")))
 
 
 def blocking_keys(papers: DataFrame, key: str) -> DataFrame:
@@ -181,22 +186,23 @@ def author_votes(a: list[str], b: list[str]) -> tuple[int, int]:
 
 
 VOTERS = ("title", "extra", "letters", "head", "first", "authors", "year")
-_VOTES = T.StructType([T.StructField(v, T.IntegerType()) for v in VOTERS])
+_VOTES = T.StructType([T.StructField(v, T.IntegerType()) for v in (*VOTERS, "distance")])
 
 
 @F.pandas_udf(_VOTES)
 def votes(title: pd.Series, cut: pd.Series, head: pd.Series, names: pd.Series, year: pd.Series, title_b: pd.Series, head_b: pd.Series, names_b: pd.Series, year_b: pd.Series, distance: pd.Series) -> pd.DataFrame:
-    """The votes of all heuristics on candidate pairs."""
+    """The votes of all heuristics on candidate pairs, and the distance as it came."""
     rows = []
     for a, c, h, n, y, b, hb, nb, yb, d in zip(title, cut, head, names, year, title_b, head_b, names_b, year_b, distance):
         t, extra = title_votes(a, b, bool(c))
+        d = FAR if d < 0 else d
         near = d / max(len(a), len(b), 1)
         letters = 3 if near <= 0.03 else 2 if near <= 0.12 else 1 if near <= 0.3 else 0
         heads = 0 if not isinstance(h, str) or not isinstance(hb, str) else 2 if h == hb or close(h, hb) else 1
         first, rest = author_votes(list(n), list(nb))
         gap = None if pd.isna(y) or pd.isna(yb) else abs(int(y) - int(yb))
-        rows.append((t, extra, letters, heads, first, rest, 0 if gap is None else 3 if gap == 0 else 2 if gap == 1 else 1))
-    return pd.DataFrame(rows, columns=list(VOTERS)).astype("int32")
+        rows.append((t, extra, letters, heads, first, rest, 0 if gap is None else 3 if gap == 0 else 2 if gap == 1 else 1, d))
+    return pd.DataFrame(rows, columns=[*VOTERS, "distance"]).astype("int32")
 
 
 def first_guess(v: np.ndarray) -> np.ndarray:
@@ -217,9 +223,11 @@ def scored(inputs: DataFrame, targets: DataFrame) -> DataFrame:
     levels, reach the driver, where the label model is fitted on all of them; posteriors go back as a table of patterns."""
     i, t = written(inputs), written(targets)
     pairs = candidates(i, t).join(i, "input_id").join(t.select("target_paper_id", *(F.col(c).alias(f"{c}_b") for c in ("title", "head", "names", "year"))), "target_paper_id")
-    v = votes("title", "cut", "head", "names", "year", "title_b", "head_b", "names_b", "year_b", F.levenshtein("title", "title_b"))
-    pairs = pairs.select("input_id", "target_paper_id", F.levenshtein("title", "title_b").alias("distance"), v.alias("_v"))
-    pairs = written(pairs.select("input_id", "target_paper_id", "distance", "_v.*").where("title > 0"))
+    shared = F.size(F.array_intersect(_content("title"), _content("title_b")))
+    of_both = F.size(_content("title")), F.size(_content("title_b"))
+    pairs = pairs.where((shared >= SHARED * F.greatest(*of_both)) | F.col("cut") & (shared >= SHARED_CUT * F.least(*of_both)) | (F.least(*of_both) < 3) | F.arrays_overlap("names", "names_b"))
+    v = votes("title", "cut", "head", "names", "year", "title_b", "head_b", "names_b", "year_b", F.levenshtein("title", "title_b", FAR))
+    pairs = written(pairs.select("input_id", "target_paper_id", v.alias("_v")).select("input_id", "target_paper_id", "_v.*").where("title > 0"))
     patterns = pairs.groupBy(*VOTERS).agg(F.count("*").alias("_n")).orderBy(*VOTERS).toPandas()
     spark = inputs.sparkSession
     if not len(patterns):
