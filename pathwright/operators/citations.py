@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -79,32 +79,40 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def marked(text: Column, surname: Column, year: Column, title: Column, number: Column) -> Column:
     """struct(text, changed): a context with the target's citation as the marker.
 
     In turn: the author's name with what follows it, if it stands there once; brackets that hold the target's number; `Name et al. year`;
     unless the first step hit, the title and what it may be called for short; a single bracket of one number, the target's if that is known.
-    Patterns are columns built per row; all runs inside the JVM."""
+    Patterns are columns built per row, and each step's text is computed once; all runs inside the JVM."""
     never = F.lit(r"(?!)")
     name = F.when(F.length(surname) > 0, F.concat(F.lit(r"(?i)\b"), _quoted(surname), F.lit(r"\b")))
-    once = F.coalesce(F.regexp_count(text, F.coalesce(name, never)) == 1, F.lit(False))
-    span = F.concat(F.lit(r"(?i)\(?\b"), _quoted(surname), F.lit(r"\b\s+(?:et\s+al\.?|and|&)\s*(?:,?\s*\(?[0-9]{4}[a-z]?\)?)?\)?"))
-    by_name = F.when(once, collapsed(F.regexp_replace(text, F.coalesce(span, never), F.lit(MARKER)))).otherwise(text)
-    author_hit = once & F.coalesce(F.regexp_count(text, F.coalesce(span, never)) > 0, F.lit(False))
+    span = F.when(F.length(surname) > 0, F.concat(F.lit(r"(?i)\(?\b"), _quoted(surname), F.lit(r"\b\s+(?:et\s+al\.?|and|&)\s*(?:,?\s*\(?[0-9]{4}[a-z]?\)?)?\)?")))
+    alone = F.coalesce(F.regexp_count(text, F.coalesce(name, never)) == 1, F.lit(False))
+    hit = alone & (F.regexp_count(text, F.coalesce(span, never)) > 0)
     holds = F.when(F.length(number) > 0, F.concat(F.lit(r"\[(?:[0-9,;\s]*[,;\s])?"), number, F.lit(r"(?:[,;\s][0-9,;\s]*)?\]")))
+    dated = F.when((F.length(surname) > 0) & year.isNotNull(), F.concat(F.lit(r"(?i)\b"), _quoted(surname), F.lit(r"\s+et\s+al\.?\s*(?:,\s*|\s*)"), year.cast("string"), F.lit("[a-z]?")))
+    names = F.coalesce(F.filter(F.transform(title_aliases(title), loose_pattern), lambda p: p.isNotNull()), F.array().cast("array<string>"))
 
     def then(s: Column, pattern: Column) -> Column:
-        out = F.regexp_replace(s, F.coalesce(pattern, never), F.lit(MARKER))
-        return F.when(out == s, s).otherwise(collapsed(out))
-
-    s = then(by_name, holds)
-    s = then(s, F.when((F.length(surname) > 0) & year.isNotNull(), F.concat(F.lit(r"(?i)\b"), _quoted(surname), F.lit(r"\s+et\s+al\.?\s*(?:,\s*|\s*)"), year.cast("string"), F.lit("[a-z]?"))))
-    short = F.reduce(F.filter(F.transform(title_aliases(title), loose_pattern), lambda p: p.isNotNull()), s, lambda acc, p: F.regexp_replace(acc, p, F.lit(MARKER)))
-    s = F.when(author_hit, s).otherwise(F.when(F.coalesce(short, s) == s, s).otherwise(collapsed(F.coalesce(short, s))))
-    alone = (F.size(F.regexp_extract_all(s, F.lit(_GROUP), 1)) == 1) & (F.size(bracket_numbers(s)) == 1)
-    alone = alone & (number.isNull() | (F.get(bracket_numbers(s), F.lit(0)) == number))
-    s = F.when(alone, collapsed(F.regexp_replace(s, _GROUP, MARKER))).otherwise(s)
-    return F.struct(collapsed(s).alias("text"), (collapsed(s) != stripped(text)).alias("changed"))
+        return F.when(F.regexp_count(s, F.coalesce(pattern, never)) > 0, collapsed(F.regexp_replace(s, F.coalesce(pattern, never), F.lit(MARKER)))).otherwise(s)
+
+    def bracket(s: Column) -> Column:
+        numbers = bracket_numbers(s)
+        one = (F.regexp_count(s, F.lit(_GROUP)) == 1) & (F.size(numbers) == 1) & (number.isNull() | (F.get(numbers, F.lit(0)) == number))
+        return collapsed(F.when(one, F.regexp_replace(s, _GROUP, MARKER)).otherwise(s))
+
+    s = F.when(hit, collapsed(F.regexp_replace(text, F.coalesce(span, never), F.lit(MARKER)))).otherwise(text)
+    s = _once(s, lambda x: then(x, holds))
+    s = _once(s, lambda x: then(x, dated))
+    s = F.when(hit, s).otherwise(F.reduce(names, s, then))
+    s = _once(s, bracket)
+    return _once(s, lambda x: F.struct(x.alias("text"), (x != stripped(text)).alias("changed")))
 
 
 def mark_contexts(contexts: DataFrame, papers: DataFrame) -> DataFrame:
