@@ -35,14 +35,17 @@ def sections(c: Column) -> Column:
 def best_section(c: Column, *names: str) -> Column:
     """The body of the first section whose normalised title contains the first of the names that any contains; NULL without one."""
     every = sections(c)
-    found = [F.get(F.filter(every, lambda s, n=n: F.contains(s["key"], F.lit(n))), F.lit(0))["body"] for n in names]
-    return F.coalesce(*found)
+
+    def first(name: str) -> Column:
+        return F.get(F.filter(every, lambda s: F.contains(s["key"], F.lit(name))), F.lit(0))["body"]
+
+    return F.coalesce(*map(first, names))
 
 
 def cited_keys(c: Column) -> Column:
     """The keys in all citation commands of a text, in order, repeated as given."""
     groups = F.regexp_extract_all(c, F.lit(r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"), 1)
-    return F.filter(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), F.trim))), lambda k: k != "")
+    return F.filter(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda k: F.trim(k)))), lambda k: k != "")
 
 
 def cite_group_pattern(keys: Column) -> Column:
