@@ -80,15 +80,21 @@ MENTION = re.compile(
     r"\b(?:said|says|saw the message|asked (?:the )?(?:readers?|users?|visitors?)|(?:is|are) called|(?:was|were) (?:dropped|replaced|pretrained|excluded|filtered)|"
     r"treats?|maps?|follows? the pattern|markers|errors shows?|theatre scripts|scripts for)\b"
 )
-#: Every kind of evidence needs one of these; sentences without any are not searched further.
-_STEMS = re.compile(
-    r"40\d|41\d|42\d|50\d|51\d|oops|sorry|uh|error|fehler|erreur|trace|raise|file \"|warning|notice|fail|exception|on line|^at |latex|pages of|conver|undefined|dump|fault|"
-    r" not |n't|returned|timed|exist|no longer|been|moved|removed|deleted|maint|unavail|server|gateway|request|reference num|incident|code|address|try again|go back|home|contact|apolog|"
-    r"too many|limit|wait|access|permi|author|session|sign|log|verify|are you|captcha|traffic|full text|^no |\bno (?:abs|text|con|pre|full)|has no|not prov|preview|subscri|purchase|^\W|status|message|"
-    r"nicht|verweigert|anfragen|sitzung|später|keine|wartung|melden|introuv|n'e|indis|accès|trop|réess|connect|no se|no exi|página|no es|no dis|acceso|solicit|sesi|intent|manten|inicie|erreich|erneut|"
-    r"[㐀-鿿]|script|\bjs\b|cookie|browser|skript|unexpected|wrong|problem|[{}\[\]<>@#%$_]|here|click|type your|enter your|insert|todo|tbd|tba|xxx|fixme|null|nan|n/?a$|none|nil|lorem|placeholder|"
-    r"untitled|empty|asdf|test|foo|bar|[:=]\W*$|missing|to be|write me|coming|construction|sample|dummy|do not|left blank|venir|compléter|kürze|ergänz|blind|platz|texte|hier|completar|pendiente|próxima|texto"
+#: The first four letters of words of which each pattern of a kind needs one; sentences without are not searched for it.
+_BEGINNINGS = tuple(
+    frozenset(x.split())
+    for x in (
+        "oops whoo sorr uh uhoh http erro fehl erre trac file rais fail exce warn noti line late page conv unde core dump segm faul stac loca load foun disp open show retr rend reac avai proc retu "
+        "time timo answ resp exis host vali exis with remo dele move disa bloc down main temp unav serv bad gate requ refe your inci ray chec addr try agai back star home cont admi webm supp apol inco "
+        "many rate wait acce perm auth sess expi sign log veri huma robo capt unus full abst text prev prov subs purc deta mess stat code nosu rest neve unex some prob gone conf deni forb unau "
+        "nich verw anfr sitz spät kein inte wart meld erne erre intr exis indi accè trop veui rées disp conn enco pudo pági dema sesi inté mant inic",
+        "java js scri skri cook brow",
+        "here goes clic inse ente type",
+        "todo tbd tba xxx xxxx fixm null unde nan n na none nil lore plac unti empt asdf test foo bar abst body titl keyw auth venu refe evid cont text summ obje miss adde writ comp dete anno supp fill comi "
+        "cons samp dumm inde remo left blan veni folg ergä blin plat hier pend próx ipsu",
+    )
 )
+_MARKS = frozenset("{}$@%<>[]\\_#|:=(")
 
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|(?<=[。!?;])\s*| / ")
 _QUOTED = re.compile(r"``.{1,80}?''|“[^”]{1,80}”|(?<!\w)'[^']{1,80}'(?!\w)")
@@ -104,44 +110,54 @@ def line_key(line: str) -> str:
 
 def n_words(text: str) -> int:
     """Words of a text; two Chinese characters count as one."""
+    return len(_tokens(text))
+
+
+def _tokens(text: str) -> list[str]:
     if text.isascii():
-        return len(_WORDS.findall(text))
+        return _WORDS.findall(text)
     wide = len(_WIDE.findall(text))
-    return len(_WORDS.findall(_WIDE.sub(" ", text))) + (wide + 1) // 2
+    return _WORDS.findall(_WIDE.sub(" ", text)) + [""] * ((wide + 1) // 2)
 
 
-def evidence(low: str) -> int:
+def evidence(low: str, tokens: list[str] | None = None) -> int:
     """Bits of the kinds of evidence that a sentence in lower case is."""
-    if not _STEMS.search(low) or MENTION.search(low):
+    tokens = _tokens(low) if tokens is None else tokens
+    marked = not _MARKS.isdisjoint(low)
+    begin = {w[:4] for w in tokens}
+    kinds = [k for k, words in enumerate(_BEGINNINGS) if "" in begin or not words.isdisjoint(begin) or marked and (k == 2 or len(tokens) < 4)]
+    if not kinds or MENTION.search(low):
         return 0
-    bare = _QUOTED.sub(" ", low)
-    return sum(1 << k for k, p in enumerate(_PATTERNS) if p.search(bare))
+    bare = _QUOTED.sub(" ", low) if "'" in low or "`" in low or "“" in low else low
+    return sum(1 << k for k in kinds if _PATTERNS[k].search(bare))
 
 
-def filler_words(low: str) -> bool:
+def filler_words(tokens: list[str]) -> bool:
     """Whether at least three in five of four or more words are those of the usual filler paragraph."""
-    found = _WORDS.findall(low)
-    return len(found) > 3 and sum(w[:4] in LOREM for w in found) >= 0.6 * len(found)
+    return len(tokens) > 3 and sum(w[:4] in LOREM for w in tokens) >= 0.6 * len(tokens)
 
 
 def analysed(line: str) -> tuple[int, int, int]:
     """(kinds, sentences, words) of a line: bits of the kinds of evidence its sentences are, the number of its other
-    sentences of four words or more, and the words of all the others."""
+    sentences of four words or more, and the words of all the others. A line that has more real sentences and words
+    than residue may stand beside is running text: what comes after that in it is not looked at."""
     kinds = sentences = real = 0
     for sentence in _SENTENCE.split(line):
         low = _SPACE.sub(" ", sentence).strip().lower()
         if not low:
             continue
-        n = n_words(low)
-        hit = evidence(low) if n <= EVIDENCE_WORDS or "[insert" in low else 0
-        if not hit and filler_words(low):
+        tokens = _tokens(low)
+        hit = evidence(low, tokens) if len(tokens) <= EVIDENCE_WORDS or "[insert" in low else 0
+        if not hit and filler_words(tokens):
             hit = 8
         if hit:
             kinds |= hit
             continue
-        n = n_words(_STRUCTURE.sub(" ", low))
+        n = len(_tokens(_STRUCTURE.sub(" ", low))) if "\\" in low or low[0] in "#%=*_-pc©(r" else len(tokens)
         real += n
         sentences += n > 3
+        if sentences > REAL_SENTENCES and real > REAL_WORDS:
+            break
     return kinds, sentences, real
 
 
