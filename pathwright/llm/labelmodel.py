@@ -22,6 +22,8 @@ class LabelModel:
         self.parents = [-1] * votes.shape[1]
         open_ = np.ones(len(votes)) if never is None else 1.0 - never
         p = guess.astype(float) * open_
+        # dependencies first: without them the rounds would take voters that go together for the class itself
+        self._find_dependencies(votes, counts, p)
         for _ in range(self.rounds):
             self._maximise(votes, counts, p)
             p = self.posterior(votes) * open_
