@@ -129,3 +129,20 @@ def test_json(spark):
 @pytest.mark.parametrize("given, want", [(None, []), ("", []), ("Soärsake-2 \\textbf{Bold} [12] \\cite{x}", ["soarsake", "2", "bold"]), ("cita-\ntion", ["citation"]), ("a​b", ["ab"])])
 def test_words(given, want):
     assert words(given) == want
+
+
+def test_prompts_and_schemas(spark):
+    from pyspark.sql.types import StructType
+
+    from pathwright import schemas
+    from pathwright.functions import prompts
+
+    for ddl in schemas.TABLES.values():
+        assert isinstance(StructType.fromDDL(ddl), StructType)
+    d = spark.createDataFrame([("e", "B1", [("p1", None, 2020, 1.5, 1, 1, "")], ["a", None], "r")], "e string, m string, c array<struct<paper_id: string, title: string, year: int, deterministic_score: double, best_rank: int, frequency: int, snippet: string>>, l array<string>, r string")
+    p = d.select(
+        prompts.scores(F.col("e"), prompts.coverage_rule(F.col("m")), F.col("c")).alias("s"), prompts.queries(F.col("e"), 5).alias("q"), prompts.lines(F.col("l")).alias("l"), prompts.repair(F.col("r"), "{}").alias("r"),
+        prompts.reference_recall(F.col("r"), F.col("l")).alias("rr"), prompts.choice(F.col("l")).alias("ch"), prompts.refinement(F.col("e"), F.col("c")).alias("re"), prompts.contribution(F.col("e"), F.col("r"), F.col("l")).alias("co"),
+        prompts.verification(F.col("e"), F.col("r"), F.lit(2020), F.array(F.struct(F.lit(1).alias("id"), F.lit("t").alias("text")))).alias("v"), prompts.alignment(F.col("e"), F.col("r")).alias("al"), prompts.formatting(F.col("r")).alias("f"), prompts.reasoning(F.struct("e", "m")).alias("rs"),
+    ).first()
+    assert all(p) and p["l"] == "1. a\n2. " and '"title":""' in p["s"] and "snippet" not in p["s"] and "id 1: t" in p["v"]
