@@ -157,15 +157,18 @@ def texts_shared(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def class_pairs(classes: DataFrame) -> DataFrame:
     """(copy_a, copy_b, jaccard, shared) of near-duplicate classes, copy_a < copy_b. classes: (copy, texts, features), one row per class."""
-    w = weighted(classes, "copy", "features")
-    w = written(w.select("copy", "feature", "weight", band_keys("feature", "weight").alias("_keys")))
-    keys = w.select("copy", F.explode("_keys").alias("_key"))
-    pairs = keys.alias("a").join(keys.alias("b"), F.expr("a._key = b._key and a.copy < b.copy")).select(F.col("a.copy").alias("copy_a"), F.col("b.copy").alias("copy_b")).distinct()
-    side = lambda x: w.select(F.col("copy").alias(f"copy_{x}"), F.col("feature").alias(f"_f{x}"), F.col("weight").alias(f"_w{x}"))
-    near = pairs.join(side("a"), "copy_a").join(side("b"), "copy_b").select("copy_a", "copy_b", weighted_jaccard("_fa", "_wa", "_fb", "_wb").alias("jaccard")).where(F.col("jaccard") >= JACCARD)
+    # shuffles carry ids of 64 bits; texts are verified under their own key, so that an id of two classes loses nothing of either
+    ids = classes.select(F.xxhash64("copy").alias("_id"), "copy", "texts", "features")
+    w = weighted(ids, "_id", "features")
+    w = written(w.select("_id", "feature", "weight", band_keys("feature", "weight").alias("_keys")))
+    keys = w.select("_id", F.explode("_keys").alias("_key"))
+    pairs = keys.alias("a").join(keys.alias("b"), F.expr("a._key = b._key and a._id < b._id")).select(F.col("a._id").alias("_a"), F.col("b._id").alias("_b")).distinct()
+    side = lambda x: w.select(F.col("_id").alias(f"_{x}"), F.col("feature").alias(f"_f{x}"), F.col("weight").alias(f"_w{x}"))
+    near = pairs.join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", weighted_jaccard("_fa", "_wa", "_fb", "_wb").alias("jaccard")).where(F.col("jaccard") >= JACCARD)
     near = written(near)
-    text = lambda x: classes.select(F.col("copy").alias(f"copy_{x}"), F.col("texts").alias(f"_t{x}"))
-    return near.join(text("a"), "copy_a").join(text("b"), "copy_b").select("copy_a", "copy_b", "jaccard", texts_shared("_ta", "_tb").alias("shared")).where(F.col("shared") >= SAME_SHARE)
+    text = lambda x: ids.select(F.col("_id").alias(f"_{x}"), F.col("copy").alias(f"_c{x}"), F.col("texts").alias(f"_t{x}"))
+    j = near.join(text("a"), "_a").join(text("b"), "_b").select(F.least("_ca", "_cb").alias("copy_a"), F.greatest("_ca", "_cb").alias("copy_b"), "jaccard", texts_shared("_ta", "_tb").alias("shared"))
+    return j.where(F.col("shared") >= SAME_SHARE)
 
 
 def _prepared(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
