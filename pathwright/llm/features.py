@@ -13,7 +13,7 @@ def weighted(records: DataFrame, key: str, features: str, common: float = 1.0, c
     be shared and is left out, and so is one that stands in more than the share `common` of the records. A record without
     any feature left gives no row. Frequencies are partial-aggregated, and the join back is on the feature, where
     adaptive execution splits hot ones; no group holds more than one record's features."""
-    n = records.count()
+    n = records.select(key).count()
     rows = records.select(F.col(key).alias("_k"), F.explode(features).alias("_f")).select("_k", F.col("_f.feature").alias("_f"), F.col("_f.times").alias("_n"))
     df = rows.groupBy("_f").agg(F.count("*").alias("_df")).where((F.col("_df") > 1) & (F.col("_df") <= max(2, n * common)))
     idf = F.least(F.log(F.lit(float(max(n, 1))) / F.col("_df")), F.lit(float(cap))).cast("float")

@@ -28,43 +28,47 @@ SAME_TEXT, SAME_SHARE = 0.6, 0.75
 
 
 def package_texts(packages: DataFrame) -> DataFrame:
-    """(id, texts) of each distinct package: the texts of its citation contexts and the claims of its cluster evidence."""
+    """(id, at, texts) of each package row: the texts of its citation contexts and the claims of its cluster evidence; `at` tells repeated rows of an
+    id apart."""
     texts = F.concat(
         F.coalesce(F.transform("citation_contexts", lambda x: x["text"]), F.array().cast("array<string>")),
         F.coalesce(F.transform("downstream_cluster_evidence", lambda x: x["representative_claim"]), F.array().cast("array<string>")),
     )
-    p = packages.select(F.col("package_id").alias("id"), texts.alias("texts"), F.col("built_at").alias("_at")).where("id is not null")
-    return p.groupBy("id").agg(F.min_by("texts", F.struct("_at", "texts")).alias("texts"))
+    return packages.select(F.col("package_id").alias("id"), F.col("built_at").cast("string").alias("at"), texts.alias("texts")).where("id is not null")
 
 
 def normalised(records: DataFrame) -> DataFrame:
-    """(id, copy, texts, features) of each record with words: its texts in word form, in order; `copy`, the same for records with the same
-    texts in any order; and its distinct shingles of SHINGLE words with their number of texts. Shorter texts are one shingle."""
-    rows = records.select("id", "texts")
+    """(id, at, copy, texts) of each record with words: its texts in word form, sorted, and `copy`, the same for records with the same texts in any order."""
+    at = F.col("at") if "at" in records.columns else F.lit(None).cast("string")
+    rows = records.select("id", at.alias("at"), "texts")
     kind = rows.schema["id"].dataType.simpleString()
-    feature = pa.struct([("feature", pa.int64()), ("times", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, copies, forms, features = [], [], [], []
-            for i, ts in enumerate(batch.column(1).to_pylist()):
-                each = [w for w in (words(t) for t in ts or ()) if w]
-                if not each:
-                    continue
-                joined = sorted(" ".join(w) for w in each)
-                counts: Counter[int] = Counter()
-                for w in each:
-                    counts.update({xxhash.xxh64_intdigest(" ".join(w[j : j + SHINGLE])) for j in range(max(1, len(w) - SHINGLE + 1))})
-                at.append(i)
-                copies.append(xxhash.xxh3_128_digest("\n".join(joined)))
-                forms.append(joined)
-                features.append([{"feature": f - (1 << 64) if f >> 63 else f, "times": n} for f, n in counts.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(copies, pa.binary()), pa.array(forms, pa.list_(pa.string())), pa.array(features, pa.list_(feature))],
-                names=["id", "copy", "texts", "features"],
-            )
-
-    return rows.mapInArrow(run, f"id {kind}, copy binary, texts array<string>, features array<struct<feature: bigint, times: int>>")
+            kept, copies, forms = [], [], []
+            for i, ts in enumerate(batch.column(2).to_pylist()):
+                joined = sorted(" ".join(w) for w in (words(t) for t in ts or ()) if w)
+                if joined:
+                    kept.append(i)
+                    copies.append(xxhash.xxh3_128_digest("\n".join(joined)))
+                    forms.append(joined)
+            k = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(k), batch.column(1).take(k), pa.array(copies, pa.binary()), pa.array(forms, pa.list_(pa.string()))], names=["id", "at", "copy", "texts"])
+
+    return rows.mapInArrow(run, f"id {kind}, at string, copy binary, texts array<string>")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("feature", T.LongType()), T.StructField("times", T.IntegerType())])))
+def shingles(texts: pd.Series) -> pd.Series:
+    """The distinct shingles of SHINGLE words of a record's texts, hashed, each with its number of texts; shorter texts are one shingle."""
+    out = []
+    for ts in texts:
+        counts: Counter[int] = Counter()
+        for t in ts:
+            w = t.split(" ")
+            counts.update({xxhash.xxh64_intdigest(" ".join(w[j : j + SHINGLE])) for j in range(max(1, len(w) - SHINGLE + 1))})
+        out.append([(f - (1 << 64) if f >> 63 else f, n) for f, n in counts.items()])
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -156,10 +160,10 @@ def texts_shared(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def class_pairs(classes: DataFrame) -> DataFrame:
-    """(copy_a, copy_b, jaccard, shared) of near-duplicate classes, copy_a < copy_b. classes: (copy, texts, features), one row per class."""
+    """(copy_a, copy_b, jaccard, shared) of near-duplicate classes, copy_a < copy_b. classes: (copy, texts), one row per class."""
     # shuffles carry ids of 64 bits; texts are verified under their own key, so that an id of two classes loses nothing of either
-    ids = classes.select(F.xxhash64("copy").alias("_id"), "copy", "texts", "features")
-    w = weighted(ids, "_id", "features")
+    ids = classes.select(F.xxhash64("copy").alias("_id"), "copy", "texts")
+    w = weighted(written(ids.select("_id", shingles("texts").alias("features"))), "_id", "features")
     w = written(w.select("_id", "feature", "weight", band_keys("feature", "weight").alias("_keys")))
     keys = w.select("_id", F.explode("_keys").alias("_key"))
     pairs = keys.alias("a").join(keys.alias("b"), F.expr("a._key = b._key and a._id < b._id")).select(F.col("a._id").alias("_a"), F.col("b._id").alias("_b")).distinct()
@@ -171,20 +175,21 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     return j.where(F.col("shared") >= SAME_SHARE)
 
 
-def _prepared(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, copy) of every record with words, its class pairs, and the classes."""
+def _prepared(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, copy) of every record with words, and the class pairs. Texts are shuffled once, by class."""
     n = written(normalised(records))
-    classes = written(n.groupBy("copy").agg(F.min("texts").alias("texts"), F.min_by("features", "id").alias("features")))
-    return n.select("id", "copy"), written(class_pairs(classes)), classes
+    classes = written(n.groupBy("copy").agg(F.min("texts").alias("texts")))
+    members = n.groupBy("id").agg(F.min_by("copy", F.struct("at", "copy")).alias("copy"))
+    return members, written(class_pairs(classes))
 
 
 def near_duplicates(records: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(id_a, id_b, shared) of each pair of records of which a share SAME_SHARE of the texts stands in both, id_a < id_b.
 
-    records: (id, texts array<string>), id unique. The order of texts, case, marks and markup do not matter; records with the same
+    records: (id, texts array<string>) and, where an id may come again, at: of repeated rows the first by `at` counts. The order of texts, case, marks and markup do not matter; records with the same
     texts share 1. Records whose texts are all NULL, empty or without words pair with none; an empty table gives no rows. The search
     runs over classes of copies; pairs of copies are written out only at the end."""
-    members, pairs, _ = _prepared(records)
+    members, pairs = _prepared(records)
     one = lambda x, name: members.select(F.col("copy").alias(f"copy_{x}"), F.col("id").alias(name))
     across = pairs.join(one("a", "_x"), "copy_a").join(one("b", "_y"), "copy_b").select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b), F.round("shared", 4).alias("shared"))
     within = members.alias("m").join(members.alias("n"), F.expr("m.copy = n.copy and m.id < n.id")).select(F.col("m.id").alias(a), F.col("n.id").alias(b), F.lit(1.0).alias("shared"))
@@ -194,7 +199,7 @@ def near_duplicates(records: DataFrame, a: str = "id_a", b: str = "id_b") -> Dat
 def duplicate_classes(records: DataFrame) -> DataFrame:
     """(id, class_id, n_copies, n_links) of every record with words: class_id is the least id of the records with the same texts, n_copies
     their number, n_links the number of other classes that are near-duplicates. Copies are not expanded into pairs."""
-    members, pairs, _ = _prepared(records)
+    members, pairs = _prepared(records)
     size = members.groupBy("copy").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
     ends = pairs.select(F.explode(F.array("copy_a", "copy_b")).alias("copy")).groupBy("copy").agg(F.count("*").alias("n_links"))
     return members.join(size, "copy").join(ends, "copy", "left").select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
