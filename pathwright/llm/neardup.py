@@ -58,17 +58,30 @@ def normalised(records: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, at string, copy binary, texts array<string>")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("feature", T.LongType()), T.StructField("times", T.IntegerType())])))
-def shingles(texts: pd.Series) -> pd.Series:
-    """The distinct shingles of SHINGLE words of a record's texts, hashed, each with its number of texts; shorter texts are one shingle."""
-    out = []
-    for ts in texts:
-        counts: Counter[int] = Counter()
-        for t in ts:
-            w = t.split(" ")
-            counts.update({xxhash.xxh64_intdigest(" ".join(w[j : j + SHINGLE])) for j in range(max(1, len(w) - SHINGLE + 1))})
-        out.append([(f - (1 << 64) if f >> 63 else f, n) for f, n in counts.items()])
-    return pd.Series(out)
+def shingled(classes: DataFrame) -> DataFrame:
+    """(_id, features) of classes (_id, texts): the distinct shingles of SHINGLE words of the texts, hashed, each with its number of texts; shorter texts
+    are one shingle. Lists are built a few hundred classes at a time, as flat arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 250):
+                part = batch.slice(k, 250)
+                found: list[np.ndarray] = []
+                times: list[np.ndarray] = []
+                sizes = [0]
+                for ts in part.column(1).to_pylist():
+                    hashes: list[int] = []
+                    for t in ts:
+                        w = t.split(" ")
+                        hashes.extend({xxhash.xxh64_intdigest(" ".join(w[j : j + SHINGLE])) for j in range(max(1, len(w) - SHINGLE + 1))})
+                    f, n = np.unique(np.array(hashes, dtype=np.uint64), return_counts=True)
+                    found.append(f.view(np.int64))
+                    times.append(n.astype(np.int32))
+                    sizes.append(sizes[-1] + len(f))
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(times))], names=["feature", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)], names=["_id", "features"])
+
+    return classes.select("_id", "texts").mapInArrow(run, "_id bigint, features array<struct<feature: bigint, times: int>>")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -163,7 +176,7 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     """(copy_a, copy_b, jaccard, shared) of near-duplicate classes, copy_a < copy_b. classes: (copy, texts), one row per class."""
     # shuffles carry ids of 64 bits; texts are verified under their own key, so that an id of two classes loses nothing of either
     ids = classes.select(F.xxhash64("copy").alias("_id"), "copy", "texts")
-    w = weighted(written(ids.select("_id", shingles("texts").alias("features"))), "_id", "features")
+    w = weighted(written(shingled(ids)), "_id", "features")
     w = written(w.select("_id", "feature", "weight", band_keys("feature", "weight").alias("_keys")))
     keys = w.select("_id", F.explode("_keys").alias("_key"))
     pairs = keys.alias("a").join(keys.alias("b"), F.expr("a._key = b._key and a._id < b._id")).select(F.col("a._id").alias("_a"), F.col("b._id").alias("_b")).distinct()
