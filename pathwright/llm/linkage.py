@@ -23,6 +23,8 @@ BANDS, ROWS, CONFIDENT = 44, 6, 0.5
 SHARED, SHARED_CUT = 0.6, 0.5
 #: Edit distances from here on count alike.
 FAR = 40
+#: Words and characters beyond which a text in place of a title is compared as a whole, without regard to typing errors.
+LONG, LONG_CHARS = 100, 1_000
 
 # Words that carry little of a title, and words that name a version of the same paper.
 STOP = "a an and are as at by can do does for from how in into is it its of on or over that the their through to towards toward under us use using via we what when with without evidence".split()
@@ -137,7 +139,8 @@ def title_votes(a: str, b: str, cut: bool) -> tuple[int, int]:
     """(agreement 0..4, extra 0..2) of a listed and a target title in word form.
 
     agreement: 4 all words of both, 3 nearly all, 2 all words of a cut title, 1 half of the words, 0 less. extra: what the listed
-    title says beyond the target's: 0 nothing, 1 the name of a version, 2 something else."""
+    title says beyond the target's: 0 nothing, 1 the name of a version, 2 something else. Titles of more than LONG words are compared
+    without regard to typing errors."""
     x, y = a.split(" "), b.split(" ")
     free: dict[str, int] = {}
     for w in y:
@@ -152,7 +155,7 @@ def title_votes(a: str, b: str, cut: bool) -> tuple[int, int]:
             missed.append(w)
     extra, mine = 0, 0.0
     for k, w in enumerate(missed):
-        hit = next((v for v, n in free.items() if n and (close(w, v) or cut and len(w) > 1 and v.startswith(w))), None)
+        hit = None if len(x) > LONG or len(y) > LONG else next((v for v, n in free.items() if n and (close(w, v) or cut and len(w) > 1 and v.startswith(w))), None)
         if hit is not None:
             free[hit] -= 1
             got += weight(hit)
@@ -226,7 +229,9 @@ def scored(inputs: DataFrame, targets: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(_content("title"), _content("title_b")))
     of_both = F.size(_content("title")), F.size(_content("title_b"))
     pairs = pairs.where((shared >= SHARED * F.greatest(*of_both)) | F.col("cut") & (shared >= SHARED_CUT * F.least(*of_both)) | (F.least(*of_both) < 3) | F.arrays_overlap("names", "names_b"))
-    v = votes("title", "cut", "head", "names", "year", "title_b", "head_b", "names_b", "year_b", F.levenshtein("title", "title_b", FAR))
+    long = F.greatest(F.length("title"), F.length("title_b")) > LONG_CHARS
+    distance = F.when(F.col("title") == F.col("title_b"), 0).when(long, FAR).otherwise(F.levenshtein("title", "title_b", FAR))
+    v = votes("title", "cut", "head", "names", "year", "title_b", "head_b", "names_b", "year_b", distance)
     pairs = written(pairs.select("input_id", "target_paper_id", v.alias("_v")).select("input_id", "target_paper_id", "_v.*").where("title > 0"))
     patterns = pairs.groupBy(*VOTERS).agg(F.count("*").alias("_n")).orderBy(*VOTERS).toPandas()
     spark = inputs.sparkSession

@@ -19,8 +19,8 @@ from pathwright.session import written
 BOILERPLATE_SHARE, BOILERPLATE_DOCS = 0.002, 5
 #: Residue may stand beside a title or a sentence: so many pieces between full stops or question marks, of so many words in all.
 REAL_SENTENCES, REAL_WORDS = 2, 34
-#: A sentence longer than this is running text, whatever it mentions.
-EVIDENCE_WORDS = 22
+#: A sentence of more words or characters than this is running text, whatever it mentions.
+EVIDENCE_WORDS, EVIDENCE_CHARS = 22, 2_000
 
 # What error pages, script notices, unfilled templates and fillers say.
 ERROR = (
@@ -147,7 +147,8 @@ def analysed(line: str) -> tuple[int, int, int]:
         if not low:
             continue
         tokens = _tokens(low)
-        hit = evidence(low, tokens) if len(tokens) <= EVIDENCE_WORDS or "[insert" in low else 0
+        short = len(low) <= EVIDENCE_CHARS and (len(tokens) <= EVIDENCE_WORDS or "[insert" in low)
+        hit = evidence(low, tokens) if short else 0
         if not hit and filler_words(tokens):
             hit = 8
         if hit:

@@ -379,3 +379,31 @@ def test_label_model_learns_accuracy_and_dependence():
     assert abs(m.prior - 0.3) < 0.05 and abs(m.tables[0][1].mean(0)[1] - 0.95) < 0.06
     p = m.posterior(np.array([[1, 0, 0, 1], [0, 1, 1, 0]]))
     assert p[0] > 0.9 and p[1] < 0.1
+
+
+# --- very long texts
+
+
+def test_very_long_texts(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r = random.Random(9)
+    item = sentence(r, 50)
+    long_words, one_word, marks = sentence(r, 60_000), "a" * 400_000, "__a" * 100_000 + " [[" * 1000 + "\\cite{" * 1000
+    docs = {1: long_words + " " + item, 2: one_word, 3: marks, 4: "Please enable JavaScript. " + one_word, 5: long_words}
+    pq.write_table(pa.table({"doc_id": list(docs), "text": list(docs.values()), "source": ["h"] * 5}), str(tmp_path / "d.parquet"))
+    d = spark.read.parquet(str(tmp_path / "d.parquet"))
+    i = spark.createDataFrame([(1, "dev", "t", item)], "item_id long, split string, task string, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in leaks.leaked(d, i).collect()} == {(1, 1)}
+    assert {x["doc_id"] for x in residue.residue_documents(d).collect()} == {4}
+    assert {x["doc_id"]: len(x["ids"]) > 0 for x in encode.encode(d).collect()} == {k: True for k in docs}
+    c = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") == 1, "dev").otherwise("train").alias("split"), "source", "text")
+    assert {(x["eval_id"], x["train_id"]) for x in crosssplit.overlaps(c).collect()} == {(1, 5)}
+    p = d.select(F.col("doc_id").alias("id"), F.array("text").alias("texts"))
+    assert {(x["id_a"], x["id_b"]) for x in neardup.near_duplicates(p).collect()} == {(1, 5)}
+    w = d.where("doc_id in (2, 5)")
+    inputs = w.select(F.col("doc_id").alias("input_id"), F.col("text").alias("title"), F.lit("A. B").alias("authors"), F.lit(2000).alias("year"), F.lit(1).alias("added_at"))
+    ingredients = CLAIMS.partition("gold_ingredients ")[2]
+    claims = w.select(F.create_map(F.col("doc_id").cast("string"), "text").alias("target_titles"), F.array().cast(ingredients).alias("gold_ingredients"))
+    assert {(x["input_id"], x["target_paper_id"]) for x in linkage.links(inputs, claims).collect()} == {(2, "2"), (5, "5")}
