@@ -90,17 +90,19 @@ def lexical_search(queries: DataFrame, corpus: DataFrame, k: int = 20, common: f
 
     Terms are lower-case words of letters and digits that stand in at most the share `common` of the titles, or in ten of them; others do not
     tell titles apart and are no terms. queries: (key, query); corpus: (hit_paper_id, title, year). Inverted index as a join: each query meets
-    only the titles on its terms' postings; only the best k of each query leave the aggregation."""
+    only the titles on its terms' postings; only the best k of each query leave the ranking."""
     terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     n = corpus.agg(F.count("*").alias("_n"))
     postings = corpus.select("hit_paper_id", F.explode(terms(F.col("title"))).alias("_t"))
     df = postings.groupBy("_t").agg(F.count("*").alias("_df")).join(F.broadcast(n), F.lit(True)).where((F.col("_df") <= F.col("_n") * common) | (F.col("_df") <= 10)).select("_t")
-    q = queries.select(*key, terms(F.col("query")).alias("_w")).where(F.size("_w") > 0)
-    q = q.select(*key, F.size("_w").alias("_size"), F.explode("_w").alias("_t")).join(df, "_t")
-    s = q.join(postings.join(df, "_t"), "_t").groupBy(*key, "hit_paper_id").agg((F.count("*") / F.max("_size")).alias("score"))
-    w = Window.partitionBy(*key).orderBy(F.desc("score"), "hit_paper_id")
+    # equal queries, of modes and claims, are searched once
+    q = queries.select("query").distinct().select("query", terms(F.col("query")).alias("_w")).where(F.size("_w") > 0)
+    q = q.select("query", F.size("_w").alias("_size"), F.explode("_w").alias("_t")).join(df, "_t")
+    s = q.join(postings.join(df, "_t"), "_t").groupBy("query", "hit_paper_id").agg((F.count("*") / F.max("_size")).alias("score"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "hit_paper_id")
     s = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return s.join(corpus.select("hit_paper_id", "title", "year"), "hit_paper_id")
+    s = s.join(corpus.select("hit_paper_id", "title", "year"), "hit_paper_id")
+    return queries.select(*key, "query").join(s, "query").drop("query")
 
 
 def agent_searches(calls: DataFrame, most: int, key: Sequence[str] = ("paper_id",)) -> DataFrame:
