@@ -216,9 +216,11 @@ def first_guess(v: np.ndarray) -> np.ndarray:
 
 
 def never_same(v: np.ndarray) -> np.ndarray:
-    """Patterns that anchor the other class: other people, in another year."""
-    _, _, _, _, first, rest, year = v.T
-    return (first == 1) & (rest == 1) & (year == 1)
+    """Patterns that anchor the other class: other people in another year or under a title of another wording, and a title that says
+    something else, agrees in half its words at most and has no author in common to make up for it."""
+    title, extra, _, _, first, rest, year = v.T
+    others = (first == 1) & (rest == 1)
+    return others & ((year == 1) | (title <= 1)) | (title <= 1) & (extra == 2) & (first <= 1)
 
 
 def scored(inputs: DataFrame, targets: DataFrame) -> DataFrame:
