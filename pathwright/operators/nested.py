@@ -49,7 +49,6 @@ REASONING = Level(
 #: Fields of which a JSON object needs one to be taken for a record.
 RECORD_FIELDS = ("rewritten_claims", "claims", "original_discovery_claim", "claim_split_decision", "paper_level_notes")
 
-_DECODER = json.JSONDecoder(strict=False)
 _NODES = "level string, node_id binary, value string"
 _BRIDGE = "level string, parent_id binary, ordinal int, child_id binary"
 
@@ -61,7 +60,7 @@ def decoded(value: object, depth: int = 4) -> object:
         if text[:1] not in ("{", "[", '"') and text != "null":
             return value
         try:
-            inner = _DECODER.decode(text)
+            inner = json.loads(text, strict=False)
         except (ValueError, RecursionError):
             return value
         if isinstance(inner, (int, float, bool)):
@@ -84,11 +83,12 @@ def find_record(text: str | None, names: tuple[str, ...] = RECORD_FIELDS) -> dic
 
     whole = text.strip().lstrip("﻿")
     try:
-        return record(_DECODER.decode(whole))
+        return record(json.loads(whole, strict=False))
     except RecursionError:
         return None
     except ValueError:
         pass
+    decoder = json.JSONDecoder(strict=False)
     at = 0
     while at < len(whole):
         starts = [i for i in (whole.find(c, at) for c in '{["') if i >= 0]
@@ -96,7 +96,7 @@ def find_record(text: str | None, names: tuple[str, ...] = RECORD_FIELDS) -> dic
             return None
         at = min(starts)
         try:
-            value, end = _DECODER.raw_decode(whole, at)
+            value, end = decoder.raw_decode(whole, at)
         except ValueError:
             at += 1
             continue
