@@ -3,7 +3,8 @@
 Method: similarity-hash bit fingerprints over idf-weighted words. Permuted
 blocks of the codes are joined across splits within a Hamming radius, the text
 similarity of what is left is verified, and overlaps are reported per split and
-source.
+source. Classes that consist mostly of common words, as near copies of one claim do
+when they are a large share of all, get a second code over those words.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pathwright.session import written
 BITS, TABLES, BLOCK, RADIUS = 128, 48, 14, 42
 #: Words of a claim at least, the share of words two near-same claims have in common, words too common to count, greatest idf.
 LEAST_WORDS, SIMILAR, COMMON, CAP = 5, 0.75, 0.1, 4.0
+#: The share of a class's words that are too common to count from which on these words get a code of their own, and the bits of its blocks.
+DENSE, DENSE_BLOCK = 0.5, 11
 
 _PICKS = np.stack([np.random.RandomState(1_000 + t).permutation(BITS)[:BLOCK] for t in range(TABLES)])
 
@@ -98,8 +101,17 @@ def similar_classes(copies: DataFrame) -> DataFrame:
     one of train. copies: (copy, words, in_eval, in_train), one row per class."""
     feats = F.transform(F.array_distinct(F.split("words", " ")), lambda w: F.struct(F.xxhash64(w).alias("feature"), F.lit(1).alias("times")))
     # shuffles carry ids of 64 bits; texts are verified under their own key, so that an id of two classes loses nothing of either
-    w = weighted(copies.select(F.xxhash64("copy").alias("_id"), feats.alias("_fs")), "_id", "_fs", COMMON, CAP)
-    codes = w.select("_id", code_of("feature", "weight").alias("_c")).join(copies.select(F.xxhash64("copy").alias("_id"), "in_eval", "in_train"), "_id")
+    rows = copies.select(F.xxhash64("copy").alias("_id"), feats.alias("_fs"))
+    w = weighted(rows, "_id", "_fs", COMMON, CAP)
+    # common words are at most 1 / COMMON times as many as a class has on average
+    counts = rows.select(F.explode(F.transform("_fs", lambda x: x["feature"])).alias("_f")).groupBy("_f").agg(F.count("*").alias("_df"))
+    common = counts.where(F.col("_df") > max(2, rows.count() * COMMON)).agg(F.collect_list("_f").alias("_common"))
+    dense = rows.crossJoin(F.broadcast(common)).select("_id", F.size("_fs").alias("_n"), F.array_intersect(F.transform("_fs", lambda x: x["feature"]), "_common").alias("feature"))
+    dense = dense.where((F.size("feature") > 0) & (F.size("feature") >= F.col("_n") * DENSE)).withColumn("weight", F.transform("feature", lambda _: F.lit(1.0).cast("float")))
+    # near-same texts share at least SIMILAR of the words of one of the two codes; keys of the second follow those of the first
+    second = dense.select("_id", code_of("feature", "weight").alias("_c"))
+    second = second.withColumn("_c", F.col("_c").withField("keys", F.transform("_c.keys", lambda k: k.bitwiseAND(F.lit(~((1 << BLOCK) - (1 << DENSE_BLOCK)))) + F.lit(TABLES << BLOCK))))
+    codes = w.select("_id", code_of("feature", "weight").alias("_c")).unionByName(second).join(copies.select(F.xxhash64("copy").alias("_id"), "in_eval", "in_train"), "_id")
     codes = written(codes.select("_id", "in_eval", "in_train", "_c.c0", "_c.c1", "_c.keys"))
     e = codes.where("in_eval").select(F.explode("keys").alias("_key"), F.col("_id").alias("_e"), F.col("c0").alias("_e0"), F.col("c1").alias("_e1"))
     t = codes.where("in_train").select(F.explode("keys").alias("_key"), F.col("_id").alias("_t"), F.col("c0").alias("_t0"), F.col("c1").alias("_t1"))

@@ -249,6 +249,17 @@ def test_overlaps_against_all_pairs(spark):
     assert crosssplit.overlaps(df.limit(0)).count() == 0
 
 
+def test_overlaps_where_a_third_are_near_copies_of_one(spark):
+    r = random.Random(8)
+    claim = sentence(r, 25)
+    near = [edited(r, claim, 2) for _ in range(300)]
+    odd = [" ".join(f"v{r.randrange(5_000)}" for _ in range(25)) for _ in range(600)]
+    rows = [(i, "train" if i % 5 else "dev", "a", t) for i, t in enumerate(near + odd)]
+    want = {(a, b) for a in range(0, 300, 5) for b in range(300) if b % 5 and sum(x == y for x, y in zip(near[a].split(), near[b].split())) >= crosssplit.SIMILAR * 25}
+    got = {(x["eval_id"], x["train_id"]) for x in crosssplit.overlaps(spark.createDataFrame(rows, "id long, split string, source string, text string")).collect()}
+    assert len(want) > 14_000 and all(a < 300 and b < 300 for a, b in got) and len(got & want) >= 0.99 * len(want)
+
+
 def test_codes_are_near_for_near_texts(spark):
     f = list(range(1, 40))
     d = spark.createDataFrame([(f, [1.0] * 39), (f[:-3] + [901, 902, 903], [1.0] * 39), (list(range(500, 539)), [1.0] * 39)], "f array<long>, w array<float>")
