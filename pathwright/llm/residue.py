@@ -1,6 +1,6 @@
 """Template residue and error-page text.
 
-Method: count normalised lines by host, subtract recurrent boilerplate, and
+Method: count normalised lines by host, once per distinct body, subtract recurrent boilerplate, and
 exclude records whose residual contains error, placeholder, filler or
 script-required evidence with next to nothing real beside it.
 """
@@ -11,11 +11,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pathwright.session import written
 
-#: A line is boilerplate of its host from this share of the host's documents on, and from so many documents.
+#: A line is boilerplate of its host from this share of the host's distinct bodies on, and from so many of them.
 BOILERPLATE_SHARE, BOILERPLATE_DOCS = 0.002, 5
 #: Residue may stand beside a title or a sentence: so many pieces between full stops or question marks, of so many words in all.
 REAL_SENTENCES, REAL_WORDS = 2, 34
@@ -163,8 +164,10 @@ def analysed(line: str) -> tuple[int, int, int]:
 
 
 def line_features(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, key, kinds, sentences, real, times): one row per document and distinct normalised line.
+    """(doc_id, host, body, key, kinds, sentences, real, times): one row per document and distinct normalised line.
 
+    body is the same for documents whose evidence-free lines of four words or more are the same, case and white space aside:
+    copies of one text, whatever notes each has. A document without such lines has its whole text as body.
     Lines are kept as keys of 64 bits and counts, so that shuffles do not carry texts."""
     rows = documents.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), F.col("text").alias("_text"))
     rows = rows.where("_text is not null and _text rlike '(?U)\\\\S'")
@@ -173,9 +176,10 @@ def line_features(documents: DataFrame) -> DataFrame:
         known: dict[str, tuple] = {}
         for batch in batches:
             ids, hosts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for doc, host, text in zip(ids, hosts, batch.column(2).to_pylist()):
                 lines: dict[str, list[int]] = {}
+                running: list[str] = []
                 for line in text.splitlines():
                     if line in known:
                         key, found = known[line]
@@ -187,6 +191,8 @@ def line_features(documents: DataFrame) -> DataFrame:
                             known[line] = key, found
                     if not key:
                         continue
+                    if found[1] and not found[0]:
+                        running.append(line)
                     if key in lines:
                         x = lines[key]
                         x[0] |= found[0]
@@ -195,22 +201,25 @@ def line_features(documents: DataFrame) -> DataFrame:
                         x[3] += 1
                     else:
                         lines[key] = [*found, 1]
+                body = xxhash.xxh3_64_intdigest(" ".join(" ".join(running or [text]).split()).lower()) - (1 << 63)
                 for key, x in lines.items():
-                    for column, value in zip(out, (doc, host, key, *x)):
+                    for column, value in zip(out, (doc, host, body, key, *x)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), *(pa.array(c, t) for c, t in zip(out[1:], (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["doc_id", "host", "line", "kinds", "sentences", "real", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), *(pa.array(c, t) for c, t in zip(out[1:], (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["doc_id", "host", "body", "line", "kinds", "sentences", "real", "times"])
 
     name = rows.schema["_id"].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-    found = rows.mapInArrow(run, f"doc_id {name}, host string, line string, kinds int, sentences bigint, real bigint, times bigint")
-    return found.select("doc_id", "host", F.xxhash64("line").alias("key"), "kinds", "sentences", "real", "times")
+    found = rows.mapInArrow(run, f"doc_id {name}, host string, body bigint, line string, kinds int, sentences bigint, real bigint, times bigint")
+    return found.select("doc_id", "host", "body", F.xxhash64("line").alias("key"), "kinds", "sentences", "real", "times")
 
 
 def host_boilerplate(features: DataFrame) -> DataFrame:
-    """(host, key, n_docs): lines that stand in BOILERPLATE_SHARE of a host's documents, and in BOILERPLATE_DOCS at least."""
-    hosts = features.groupBy("host").agg(F.approx_count_distinct("doc_id", 0.01).alias("_docs"))
-    counts = features.groupBy("host", "key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= BOILERPLATE_DOCS)
-    return counts.join(hosts, "host").where(F.col("n_docs") >= F.col("_docs") * BOILERPLATE_SHARE).select("host", "key", "n_docs")
+    """(host, key, n_bodies): lines that stand in BOILERPLATE_SHARE of a host's distinct bodies, and in BOILERPLATE_DOCS at
+    least. Copies of one text count once, so that its own lines are not taken for the host's."""
+    hosts = features.groupBy("host").agg(F.approx_count_distinct("body", 0.01).alias("_bodies"))
+    once = features.groupBy("host", "key", "body").agg(F.lit(1).alias("_one"))
+    counts = once.groupBy("host", "key").agg(F.count("*").alias("n_bodies")).where(F.col("n_bodies") >= BOILERPLATE_DOCS)
+    return counts.join(hosts, "host").where(F.col("n_bodies") >= F.col("_bodies") * BOILERPLATE_SHARE).select("host", "key", "n_bodies")
 
 
 def residual(documents: DataFrame) -> DataFrame:

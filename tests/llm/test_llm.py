@@ -214,6 +214,18 @@ def test_recurrent_lines_are_subtracted(spark):
     assert [x["doc_id"] for x in residue.residue_documents(d).collect()] == [0]
 
 
+def test_lines_of_copied_documents_are_no_boilerplate(spark):
+    menu = "Home and start page | Browse all volumes | Search the full archive"
+    rows = [(i, f"{menu}\n{REAL}\n[insert citation here]") for i in range(40)]  # copies
+    rows += [(100 + i, f"{REAL} It says more.\n[insert {word} here]") for i, word in enumerate(["table", "figure", "number", "name", "title", "date", "venue"])]  # copies, a note of its own each
+    rows += [(200 + i, f"{menu}\n" + " ".join(f"word{chr(97 + i)}{chr(97 + j)}" for j in range(40)) + ".") for i in range(12)]
+    rows += [(300 + i, f"{menu}\n404 Not Found") for i in range(3)]
+    d = spark.createDataFrame([(*x, "h") for x in rows], "doc_id long, text string, source string")
+    assert {x["doc_id"] for x in residue.residue_documents(d).collect()} == {300, 301, 302}
+    keys = {x["key"] for x in residue.host_boilerplate(residue.line_features(d).where("kinds = 0")).collect()}
+    assert keys == {x["k"] for x in spark.createDataFrame([(residue.line_key(menu),)], "line string").select(F.xxhash64("line").alias("k")).collect()}
+
+
 def test_prefilter_loses_no_evidence():
     for text in RESIDUE:
         for line in text.splitlines():
