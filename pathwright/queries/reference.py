@@ -419,8 +419,9 @@ def title_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def comment_strip(s: SparkSession, d: str) -> DataFrame:
-    """LaTeX documents without their comments. The pattern looks behind, so the SQL splits at backslashes that escape."""
-    return load(s, d, "documents").where("text is not null and lang = 'en'").select("doc_id", latex.without_comments(F.col("text")).alias("text"))
+    """Documents of any language without their LaTeX comments. The pattern looks behind, so the SQL, which covers lang 'en' only, splits at backslashes
+    that escape."""
+    return load(s, d, "documents").where("text is not null").select("doc_id", latex.without_comments(F.col("text")).alias("text"))
 
 
 def section_titles(s: SparkSession, d: str) -> DataFrame:

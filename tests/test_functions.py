@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathwright.functions import bibliographic as bib, ids, jsonx, latex, text
 from pathwright.functions.words import words
+from pathwright.queries import reference
 
 
 def one(spark, column, **values):
@@ -102,6 +103,14 @@ def test_latex(spark):
     assert one(spark, latex.cited_keys(F.col("t")), t=r"\cite{a, b} \citep[x]{c}") == ["a", "b", "c"]
 
 
+def test_comments_go_in_every_language(spark, tmp_path):
+    langs = ["en", "EN", "en-GB", None, "und", "de", "zh"]
+    rows = [(i, f"text {i} 5\\% % note\nend", lang) for i, lang in enumerate(langs)] + [(90, None, "en"), (91, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["text"] for x in reference.comment_strip(spark, str(tmp_path)).collect()}
+    assert got == {i: f"text {i} 5\\% \nend" for i in range(len(langs))} | {91: ""}
+
+
 def test_mark_target(spark):
     d = spark.createDataFrame([(r"x \cite{k1,z} y \citep{smith2019a} w \cite{smith2030}", ["k1"], "Smith", 2020), (r"\cite{a}", [], None, None)], "t string, k array<string>, s string, y int")
     got = [r["x"] for r in d.select(latex.mark_target(F.col("t"), F.col("k"), F.coalesce("s", F.lit("")), F.col("y")).alias("x")).collect()]
