@@ -87,7 +87,7 @@ _BEGINNINGS = tuple(
     for x in (
         "oops whoo sorr uh uhoh http erro fehl erre trac file rais fail exce warn noti line late page conv unde core dump segm faul stac loca load foun disp open show retr rend reac avai proc retu "
         "time timo answ resp exis host vali exis with remo dele move disa bloc down main temp unav serv bad gate requ refe your inci ray chec addr try agai back star home cont admi webm supp apol inco "
-        "many rate wait acce perm auth sess expi sign log veri huma robo capt unus full abst text prev prov subs purc deta mess stat code nosu rest neve unex some prob gone conf deni forb unau "
+        "many rate wait acce perm auth sess expi sign log veri huma robo capt unus full abst text prev prov subs purc deta mess stat code nosu rece reca rest neve unex some prob gone conf deni forb unau "
         "nich verw anfr sitz spät kein inte wart meld erne erre intr exis indi accè trop veui rées disp conn enco pudo pági dema sesi inté mant inic",
         "java js scri skri cook brow",
         "here goes clic inse ente type",
@@ -95,6 +95,8 @@ _BEGINNINGS = tuple(
         "cons samp dumm inde remo left blan veni folg ergä blin plat hier pend próx ipsu",
     )
 )
+#: What joins words; and the ends of the names of errors, which their patterns find within a word.
+_JOINS, _NAMED = re.compile("['’\\-]"), ("error", "exception", "failure")
 _MARKS = frozenset("{}$@%<>[]\\_#|:=(")
 
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|(?<=[。!?;])\s*| / ")
@@ -126,7 +128,11 @@ def evidence(low: str, tokens: list[str] | None = None) -> int:
     tokens = _tokens(low) if tokens is None else tokens
     marked = not _MARKS.isdisjoint(low)
     begin = {w[:4] for w in tokens}
-    kinds = [k for k, words in enumerate(_BEGINNINGS) if "" in begin or not words.isdisjoint(begin) or marked and (k == 2 or len(tokens) < 4)]
+    if "'" in low or "-" in low or "’" in low:
+        begin.update(x[:4] for w in tokens for x in _JOINS.split(w))
+    named = low.startswith("at ") or ":" in low and any(x in low for x in _NAMED)
+    within = (named, False, False, "_____" in low)
+    kinds = [k for k, words in enumerate(_BEGINNINGS) if "" in begin or within[k] or not words.isdisjoint(begin) or marked and (k == 2 or len(tokens) < 4)]
     if not kinds or MENTION.search(low):
         return 0
     bare = _QUOTED.sub(" ", low) if "'" in low or "`" in low or "“" in low else low

@@ -226,6 +226,18 @@ def test_lines_of_copied_documents_are_no_boilerplate(spark):
     assert keys == {x["k"] for x in spark.createDataFrame([(residue.line_key(menu),)], "line string").select(F.xxhash64("line").alias("k")).collect()}
 
 
+@pytest.mark.parametrize(
+    "low",
+    [
+        "at org.x.foo.bar(foo.java:12)", "cet article n'existe pas", "keyerror: the name abc is not a key", "java.lang.fooexception: value of this was odd", "overflowerror: numerical result out of range", "x.loadfailure: one two three four",
+        "uh-oh, nothing to see there", "404 xyz-gone for all who ask", "(most recent call last) in all of it", "solve the recaptcha below to go on", "the tool _______ handles all of the _______",
+    ],
+)
+def test_prefilter_lets_through_what_patterns_find(low):
+    found = sum(1 << k for k, p in enumerate(residue._PATTERNS) if p.search(residue._QUOTED.sub(" ", low)))
+    assert found and residue.evidence(low) == found
+
+
 def test_prefilter_loses_no_evidence():
     for text in RESIDUE:
         for line in text.splitlines():
