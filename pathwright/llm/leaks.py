@@ -126,29 +126,25 @@ def stretch(item: list[str], doc: list[str], a: int, b: int) -> tuple[int, int,
     return i0 + 1, i1, j0 + 1, j1, left + right
 
 
-def run_of(item: list[str], doc: list[str], a: int, b: int) -> tuple[int, int]:
-    """(first, end) in the document of the run of equal words around item[a] = doc[b]."""
-    i, j = a - 1, b - 1
-    while i >= 0 and j >= 0 and item[i] == doc[j]:
-        i, j = i - 1, j - 1
+def run_end(item: list[str], doc: list[str], a: int, b: int) -> int:
+    """Where in the document the run of equal words around item[a] = doc[b] ends."""
     x, y = a + 1, b + 1
     n, m = len(item), len(doc)
     while x < n and y < m and item[x] == doc[y]:
         x, y = x + 1, y + 1
-    return j + 1, y
+    return y
 
 
 def held(item: list[str], doc: list[str], hits: list[tuple[int, int]]) -> float:
-    """The share of the item's words that the document holds in its STRETCHES best stretches. Stretches grow from hits whose run of equal words
-    has the length that winnowing guarantees to find, GRAM + WINDOW - 1."""
+    """The share of the item's words that the document holds in its STRETCHES best stretches. Stretches grow from every hit, however short the
+    run of equal words around it; hits of one run grow the same stretch."""
     found: list[tuple[int, int, int, int, int]] = []
     runs: dict[int, int] = {}  # diagonal -> where its last run ends
     for a, b in sorted(hits, key=lambda x: x[1]):
         if a >= len(item) or b >= len(doc) or item[a] != doc[b] or runs.get(b - a, 0) > b:
             continue
-        first, end = run_of(item, doc, a, b)
-        runs[b - a] = end
-        if end - first < GRAM + WINDOW - 1 or any(s[2] <= b < s[3] and s[0] <= a < s[1] for s in found):
+        runs[b - a] = run_end(item, doc, a, b)
+        if any(s[2] <= b < s[3] and s[0] <= a < s[1] for s in found):
             continue
         s = stretch(item, doc, a, b)
         if s[4] >= LEAST:

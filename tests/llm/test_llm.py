@@ -178,6 +178,17 @@ def test_leaks(spark):
     assert leaks.leaked(d.limit(0), i).count() == 0 and leaks.leaked(d, i.limit(0)).count() == 0
 
 
+def test_leaks_with_a_word_changed_in_every_six(spark):
+    r = random.Random(12)
+    word = iter(r.sample(range(10_000), 10_000))
+    item = [f"x{next(word)}" for _ in range(48)]
+    whole = " ".join(w if i % 6 else "changed" for i, w in enumerate(item))
+    parts = " ".join([*item[:18], *(f"y{next(word)}" for _ in range(60)), *item[30:36]])  # 18 and 6 of 48
+    d = spark.createDataFrame([(1, whole), (2, parts), (3, " ".join(item[:20]))], "doc_id long, text string")
+    i = spark.createDataFrame([(0, "dev", "t", " ".join(item))], "item_id long, split string, task string, text string")
+    assert {x["doc_id"] for x in leaks.leaked(d, i).collect()} == {1, 2}
+
+
 # --- residue
 
 REAL = "The second stage ranks answers by their scores and passes them on. Two annotators labelled every example by hand. We report the mean of five runs. "
