@@ -1,10 +1,11 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary.
 
-Method: corpus-level merge replay. The words of a task's whole slice of the
-corpus, each distinct one once, lie in one array of symbols; an inverted index
+Method: merge replay a batch of documents at a time. The words that are new to
+a batch, each distinct one once, lie in one array of symbols; an inverted index
 from mergeable pair to positions applies every merge in rank order and touches
-only the neighbours of what it merged. Merges never cross a word, so the ids of
-a word do not depend on where else it stands, and slices need no shuffle.
+only the neighbours of what it merged. Ids of words are kept from batch to batch
+of a task, up to KEPT_WORDS. Merges never cross a word, so the ids of a word do
+not depend on where else it stands, and batches need no shuffle.
 """
 
 from __future__ import annotations
