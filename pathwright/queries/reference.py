@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pathwright.functions import ids, latex, text
 from pathwright.operators import candidates as cand, citations as cit, clusters as clu, groundings as gr, matching, metrics, paragraphs as par, progress
 from pathwright.plans import grounding
+from pathwright.session import written
 from pathwright.sources import providers
 from pathwright.tables import load
 
@@ -120,16 +121,26 @@ def topk_budget(s: SparkSession, d: str) -> DataFrame:
     return cand.top(candidate_fusion(s, d), 5).select("paper_id", "claim_idx", "mode", "rank", "cand_paper_id")
 
 
-def llm_rerank(s: SparkSession, d: str) -> DataFrame:
-    """Reranking by scores of the best 30 candidates; a candidate's score here is the number of words its title shares with the claim, as text, some out of
-    bounds and one in seven missing."""
-    tasks, ranked = _ranked(s, d)
-    r = ranked.where("mode = 'B1'").join(tasks.where("mode = 'B1'").select("paper_id", "claim_idx", "claim"), ["paper_id", "claim_idx"])
+def _reranked(tasks: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Reranking by scores of the best 30 candidates of each claim and mode; a candidate's score here is the number of words its title shares with the
+    claim, as text, some out of bounds and one in seven missing."""
+    r = ranked.join(tasks.select("paper_id", "claim_idx", "mode", "claim"), ["paper_id", "claim_idx", "mode"])
     shared = F.size(F.array_intersect(text.plain_words(F.col("claim")), text.plain_words(F.col("paper_title"))))
     asked = r.where("rank <= 30")
     items = asked.where("rank % 7 <> 0").select("paper_id", "claim_idx", "mode", F.col("rank").alias("position"), "cand_paper_id", shared.cast("string").alias("score"), F.lit(None).cast("array<int>").alias("grounds"), F.lit("").alias("reason"))
-    out = cand.rerank(ranked.where("mode = 'B1'"), cand.valid_scores(items, asked))
-    return out.select("paper_id", "claim_idx", "cand_paper_id", "llm_score", "missing_llm_score", "rank")
+    return cand.rerank(ranked, cand.valid_scores(items, asked))
+
+
+def llm_rerank(s: SparkSession, d: str) -> DataFrame:
+    """The reranked candidates of mode B1; llm_rerank_modes has all modes."""
+    tasks, ranked = _ranked(s, d)
+    return _reranked(tasks.where("mode = 'B1'"), ranked.where("mode = 'B1'")).select("paper_id", "claim_idx", "cand_paper_id", "llm_score", "missing_llm_score", "rank")
+
+
+def llm_rerank_modes(s: SparkSession, d: str) -> DataFrame:
+    """The reranked candidates of every mode. The ranking is written once, as reranking reads it three times."""
+    tasks, ranked = _ranked(s, d)
+    return _reranked(tasks, written(ranked)).select("paper_id", "claim_idx", "mode", "cand_paper_id", "llm_score", "missing_llm_score", "rank")
 
 
 _PLAIN = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
@@ -485,7 +496,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            grounding_metrics, candidate_fusion, topk_budget, llm_rerank, ingredient_tasks, match_edges, judged_claims, macro_metrics, priority_label, final_label, label_counts, verify_batches, usage_counters,
+            grounding_metrics, candidate_fusion, topk_budget, llm_rerank, llm_rerank_modes, ingredient_tasks, match_edges, judged_claims, macro_metrics, priority_label, final_label, label_counts, verify_batches, usage_counters,
             numbered_contexts, dominant_bracket, marked_contexts, paragraph_best_match, exact_key_clusters, dominant_key, cluster_support, resume_pending, confirmed_semi, leave_one_out, first_n_entities,
             limit_year_nullable, fallback_coalesce, text_normalise, arxiv_ids, title_overlap, comment_strip, section_titles, cited_keys, paragraph_counts, ordered_dedup, set_ops, claim_types, json_props, grid_dims, limited_claims,
         )

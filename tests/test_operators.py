@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pathwright.functions.text import plain_words
 from pathwright.operators import candidates as cand, citations as cit, clusters as clu, groundings as gr, matching, metrics, nested, paragraphs as par, progress
 from pathwright.plans import annotation, judging, silver
+from pathwright.queries import reference
 
 
 def rows(df, *columns):
@@ -40,6 +41,15 @@ def test_rerank_keeps_unscored(spark):
     assert rows(out, "rank", "cand_paper_id", "llm_score", "missing_llm_score") == [(1, "b", 5, False), (2, "a", 0, True), (3, "c", 0, False)]
 
 
+def test_rerank_takes_every_mode(spark):
+    d = "/root/testdata/sf0.001"
+    query = reference.queries()
+    got = rows(query["llm_rerank_modes"](spark, d), "paper_id", "claim_idx", "mode", "cand_paper_id")
+    assert sorted(got) == sorted(rows(query["candidate_fusion"](spark, d), "paper_id", "claim_idx", "mode", "cand_paper_id")) and {x[2] for x in got} == {"B1", "B3", "B4"}
+    names = ("paper_id", "claim_idx", "cand_paper_id", "llm_score", "missing_llm_score", "rank")
+    assert sorted(rows(query["llm_rerank_modes"](spark, d).where("mode = 'B1'"), *names)) == sorted(rows(query["llm_rerank"](spark, d), *names))
+
+
 def test_batches_top_and_bounds(spark):
     d = spark.createDataFrame([("p", i, float(i % 3)) for i in range(7)], "k string, id int, c double")
     assert rows(cand.batches(d, ["k"], ["id"], 3), "id", "batch") == [(i, i // 3) for i in range(7)]
