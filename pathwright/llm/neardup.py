@@ -21,8 +21,8 @@ from pathwright.functions.words import words
 from pathwright.llm.features import weighted
 from pathwright.session import written
 
-#: Words of a shingle; bands and samples in each; weighted Jaccard similarity of shared shingles that candidates reach.
-SHINGLE, BANDS, ROWS, JACCARD = 5, 28, 3, 0.5
+#: Words of a shingle; bands and samples in each; weighted Jaccard similarity of all shingles that candidates reach.
+SHINGLE, BANDS, ROWS, JACCARD = 5, 32, 3, 0.4
 #: Two texts say the same from this share of common words on; two records are near-duplicates if this share of their texts does.
 SAME_TEXT, SAME_SHARE = 0.6, 0.75
 
@@ -58,71 +58,125 @@ def normalised(records: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, at string, copy binary, texts array<string>")
 
 
+def shingles(texts: list[list[str]], known: dict[str, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct shingles of each record's texts, hashed, and how often each stands in the record. A shingle is SHINGLE words in a row, or a whole
+    text of fewer. known keeps the hashes of words between calls."""
+    flat: list[int] = []
+    ends = [0]  # of texts
+    records = [0]  # texts before each record
+    short: list[tuple[int, int]] = []
+    for ts in texts:
+        for t in ts:
+            ws = t.split(" ")
+            for w in ws:
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = xxhash.xxh64_intdigest(w)
+                flat.append(h)
+            if len(ws) < SHINGLE:
+                short.append((ends[-1], xxhash.xxh64_intdigest(t)))
+            ends.append(len(flat))
+        records.append(len(ends) - 1)
+    n = len(flat)
+    if not n:
+        return [np.empty(0, dtype=np.int64) for _ in texts], [np.empty(0, dtype=np.int32) for _ in texts]
+    words_, e = np.array(flat, dtype=np.uint64), np.array(ends)
+    left = np.repeat(e[1:], np.diff(e)) - np.arange(n)  # words from here to the text's end
+    h = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(SHINGLE):
+            h = mixed(h ^ np.concatenate([words_[i:], np.zeros(min(i, n), dtype=np.uint64)])[:n] + np.uint64(i + 1))
+    whole = left >= SHINGLE
+    for at, x in short:
+        h[at], whole[at] = x, True
+    found, times = [], []
+    for a, b in zip(e[records[:-1]], e[records[1:]]):
+        f, k = np.unique(h[a:b][whole[a:b]], return_counts=True)
+        found.append(f.view(np.int64))
+        times.append(k.astype(np.int32))
+    return found, times
+
+
 def shingled(classes: DataFrame) -> DataFrame:
-    """(_id, features) of classes (_id, texts): the distinct shingles of SHINGLE words of the texts, hashed, each with its number of texts; shorter texts
-    are one shingle. Lists are built a few hundred classes at a time, as flat arrays."""
+    """(_id, features) of classes (_id, texts): the distinct shingles of their texts and how often each stands there. Lists are built a few hundred
+    classes at a time, as flat arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 250):
                 part = batch.slice(k, 250)
-                found: list[np.ndarray] = []
-                times: list[np.ndarray] = []
-                sizes = [0]
-                for ts in part.column(1).to_pylist():
-                    hashes: list[int] = []
-                    for t in ts:
-                        w = t.split(" ")
-                        hashes.extend({xxhash.xxh64_intdigest(" ".join(w[j : j + SHINGLE])) for j in range(max(1, len(w) - SHINGLE + 1))})
-                    f, n = np.unique(np.array(hashes, dtype=np.uint64), return_counts=True)
-                    found.append(f.view(np.int64))
-                    times.append(n.astype(np.int32))
-                    sizes.append(sizes[-1] + len(f))
+                if len(known) > 500_000:
+                    known.clear()
+                found, times = shingles(part.column(1).to_pylist(), known)
+                sizes = np.concatenate([[0], np.cumsum([len(f) for f in found])])
                 pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(times))], names=["feature", "times"])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)], names=["_id", "features"])
 
     return classes.select("_id", "texts").mapInArrow(run, "_id bigint, features array<struct<feature: bigint, times: int>>")
 
 
+_DRAWS: list[np.ndarray] = []
+
+
+def _draws() -> list[np.ndarray]:
+    """Seeds of the samples, and the 65,536 quantiles of the gamma distribution of shape 2 with their logarithms: what consistent weighted sampling
+    draws, at two bytes a draw."""
+    if not _DRAWS:
+        x = np.concatenate([[0.0], np.logspace(-5, 2, 200_000)])
+        q = np.interp((np.arange(65_536) + 0.5) / 65_536, -np.expm1(-x) - x * np.exp(-x), x)
+        s = seeded(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1)
+        _DRAWS.extend(((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None], q.astype(np.float32), np.log(q).astype(np.float32)))
+    return _DRAWS
+
+
+def _mixed32(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser, in place."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def samples(features: np.ndarray, weights: np.ndarray, part: int = 4_096) -> np.ndarray:
+    """BANDS * ROWS consistent samples of a record's weighted features: of each the shingle and the step of its weight that comes first in a random
+    order in which a shingle's chance is its weight, as 64 bits. Long records are sampled in parts."""
+    seeds, r_of, lnc_of = _draws()
+    n = len(seeds)
+    best, chosen, step = np.full(n, np.inf, np.float32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    rows = np.arange(n)
+    for k in range(0, len(features), part):
+        f = features[k : k + part].view(np.uint64)
+        logs = np.log(weights[k : k + part]).astype(np.float32)
+        with np.errstate(over="ignore"):
+            h = _mixed32((f & np.uint64(0xFFFFFFFF)).astype(np.uint32)[None, :] ^ seeds)
+            b = _mixed32(h + (f >> np.uint64(32)).astype(np.uint32)[None, :])
+        r, lnc = r_of[h & np.uint32(0xFFFF)], lnc_of[h >> np.uint32(16)]
+        beta = b.astype(np.float32) * np.float32(2.0**-32)
+        t = np.floor(logs / r + beta)
+        order = lnc - r * (t - beta + 1)
+        at = order.argmin(axis=1)
+        least = order[rows, at]
+        better = least < best
+        best[better] = least[better]
+        chosen[better] = features[k + at[better]]
+        step[better] = t[rows, at][better].astype(np.int64)
+    return mixed(chosen.view(np.uint64) ^ mixed(step.view(np.uint64) + np.uint64(1)))
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def band_keys(features: pd.Series, weights: pd.Series) -> pd.Series:
-    """One key per band of a record's weighted features: a hash of ROWS consistent samples, each the shingle and the step
-    of its weight that comes first in a random order in which a shingle's chance is its weight."""
-    n, k = len(features), BANDS * ROWS
-    if not n:
-        return pd.Series([], dtype=object)
+    """One key per band of a record's weighted features: a hash of ROWS consistent samples."""
     out = []
-    seeds = [(np.uint64(s * 0x9E3779B97F4A7C15 & (2**64 - 1)), np.uint64((s * 0xD1B54A32D192ED03 + 7) & (2**64 - 1)), np.uint64((s * 0x94D049BB133111EB + 13) & (2**64 - 1))) for s in range(1, k + 1)]
-    for start in range(0, n, 64):
-        fs, ws = list(features.iloc[start : start + 64]), list(weights.iloc[start : start + 64])
-        lengths = np.fromiter(map(len, fs), dtype=np.int64, count=len(fs))
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        flat = np.concatenate(fs).astype(np.int64).view(np.uint64)
-        # a shingle's random numbers are the same in all its records: draw them once a batch
-        f, inverse = np.unique(flat, return_inverse=True)
-        logs = np.log(np.concatenate(ws).astype(np.float64))
-        keys = np.zeros((len(fs), BANDS), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for s, (a, b, c) in enumerate(seeds):
-                h1, h2, h3 = mixed(f + a), mixed(f + b), mixed(f + c)
-                low, high = np.uint64(0xFFFFFFFF), np.uint64(32)
-                u = [((x + np.uint64(1)).astype(np.float64)) / 4294967297.0 for x in (h1 & low, h1 >> high, h2 & low, h2 >> high)]
-                r, lnc = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
-                beta = (h3 >> np.uint64(11)).astype(np.float64) / 9007199254740992.0
-                ri, bi = r[inverse], beta[inverse]
-                t = np.floor(logs / ri + bi)
-                order = lnc[inverse] - ri * (t - bi) - ri
-                least = np.minimum.reduceat(order, starts)
-                first = np.flatnonzero(order == np.repeat(least, lengths))
-                of = np.searchsorted(starts, first, side="right") - 1
-                pick = np.zeros(len(fs), dtype=np.int64)
-                pick[of[::-1]] = first[::-1]
-                sample = mixed(flat[pick] ^ seeded(t[pick].astype(np.int64).view(np.uint64), s + 1))
-                band = s // ROWS
-                keys[:, band] = mixed(keys[:, band] + sample)
-            keys = mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64))
-        out.extend(keys.view(np.int64))
-    return pd.Series(list(out))
+    with np.errstate(over="ignore"):
+        for f, w in zip(features, weights):
+            s = samples(np.asarray(f, dtype=np.int64), np.asarray(w, dtype=np.float32)).reshape(BANDS, ROWS)
+            key = np.arange(1, BANDS + 1, dtype=np.uint64)
+            for i in range(ROWS):
+                key = mixed(key + s[:, i])
+            out.append(key.view(np.int64))
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -176,13 +230,13 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     """(copy_a, copy_b, jaccard, shared) of near-duplicate classes, copy_a < copy_b. classes: (copy, texts), one row per class."""
     # shuffles carry ids of 64 bits; texts are verified under their own key, so that an id of two classes loses nothing of either
     ids = classes.select(F.xxhash64("copy").alias("_id"), "copy", "texts")
-    w = weighted(written(shingled(ids)), "_id", "features")
+    # shingles are made twice, for the counts and for the join: that is cheaper than to write many times the text
+    w = weighted(shingled(ids), "_id", "features", total=ids.count())
     w = written(w.select("_id", "feature", "weight", band_keys("feature", "weight").alias("_keys")))
     keys = w.select("_id", F.explode("_keys").alias("_key"))
     pairs = keys.alias("a").join(keys.alias("b"), F.expr("a._key = b._key and a._id < b._id")).select(F.col("a._id").alias("_a"), F.col("b._id").alias("_b")).distinct()
     side = lambda x: w.select(F.col("_id").alias(f"_{x}"), F.col("feature").alias(f"_f{x}"), F.col("weight").alias(f"_w{x}"))
     near = pairs.join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", weighted_jaccard("_fa", "_wa", "_fb", "_wb").alias("jaccard")).where(F.col("jaccard") >= JACCARD)
-    near = written(near)
     text = lambda x: ids.select(F.col("_id").alias(f"_{x}"), F.col("copy").alias(f"_c{x}"), F.col("texts").alias(f"_t{x}"))
     j = near.join(text("a"), "_a").join(text("b"), "_b").select(F.least("_ca", "_cb").alias("copy_a"), F.greatest("_ca", "_cb").alias("copy_b"), "jaccard", texts_shared("_ta", "_tb").alias("shared"))
     return j.where(F.col("shared") >= SAME_SHARE)
@@ -193,7 +247,7 @@ def _prepared(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = written(normalised(records))
     classes = written(n.groupBy("copy").agg(F.min("texts").alias("texts")))
     members = n.groupBy("id").agg(F.min_by("copy", F.struct("at", "copy")).alias("copy"))
-    return members, written(class_pairs(classes))
+    return members, class_pairs(classes)
 
 
 def near_duplicates(records: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
