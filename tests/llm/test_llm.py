@@ -258,6 +258,49 @@ def test_prefilter_loses_no_evidence():
                 assert residue.evidence(low) == full or residue.MENTION.search(low)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "JavaScript was adopted by browsers early.", "Sorry, but attention is not explanation.", "The dataset is no longer available.", "The proof is not provided by the authors.", "The estimator is not available in closed form.",
+        "Coming soon after BERT, the model changed how parsers were trained.", "A manual audit of 499 outputs found error signals that the parser had ignored.", "The licence allows sharing graphs but not theatre scripts.",
+        "Code blocks in JavaScript were parsed first.", "No existe una teoría de la gramática.", "The release holds 500 splits, error signals and scripts for parsing.", "Captchas are hard for vision models.",
+        "Unlike A, B does not need error signals when it meets theatre scripts.", "It holds 407 items drawn from building permits and theatre scripts.", "In this paper, duplicates were removed by comparing estimates.",
+    ],
+)
+def test_sentences_that_only_speak_of_such_things(text):
+    assert residue.analysed(text)[0] == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "We are sorry but the page that you have asked for on this very old server of ours could not be found in any of the many folders that we have looked through today.", "Nous sommes désolés, une erreur est survenue", "Страница не найдена",
+        "お探しのページは見つかりませんでした。", "Pagina non trovata", "Página não encontrada", "Nie znaleziono strony", "Pagina niet gevonden", "La página solicitada no existe.", "Die Seite existiert nicht.", "找不到页面",
+        "Script execution is disabled in this browser.", "Please allow scripts and reload.", "HTTP/1.1 503", "Unable to load the requested article.", "An unexpected error occurred.",
+        "One real sentence stands here first. Another real one follows it here. And a third one of five words. Error 404: page not found.",
+    ],
+)
+def test_evidence_of_other_makes(text):
+    assert residue.analysed(text)[0] in (1, 2) and residue.has_evidence(text)
+
+
+def test_cues_let_through_what_expressions_find():
+    every = [s for t in [*RESIDUE, *filter(None, REAL_DOCS)] for s in t.splitlines()]
+    for low in (x.lower() for x in every):
+        for i, (k, search) in enumerate(residue._SEARCHES):
+            if search.search(low) and i not in residue._WHOLES:
+                assert residue._cued(low) >> i & 1, (low, residue._FAMILIES[i])
+
+
+def test_a_notice_on_every_page_is_boilerplate_and_an_error_of_empty_pages_is_not(spark):
+    foot = "Please enable JavaScript to see the comments."
+    rows = [(i, f"{REAL}{REAL}Page {chr(97 + i)}{chr(97 + i)} says so in its own words.\n{foot}") for i in range(20)]
+    rows += [(100, f"A Good Title of a Paper\n{foot}"), (101, "A Good Title of a Paper\nYou must enable JavaScript.")]
+    rows += [(200 + i, f"Item {chr(97 + i)}\n404 Not Found") for i in range(10)]
+    d = spark.createDataFrame([(*x, "h") for x in rows], "doc_id long, text string, source string")
+    assert {x["doc_id"] for x in residue.residue_documents(d).collect()} == {101, *range(200, 210)}
+
+
 # --- cross-split overlaps
 
 
