@@ -63,7 +63,7 @@ _REASONS = (
 #: lower case. Expressions without cues are for whole sentences of WHOLE characters at most.
 WHOLE = 60
 _FAMILIES: tuple[tuple[str, str, str], ...] = (
-    ("error", "4##|5##", rf"\b[45]\d\d\b\W{{0,4}}(?:error\b|(?:\w+\W+){{0,2}}{_REASONS})"),
+    ("error", "4##|5##", rf"\b[45]\d\d\b\W{{0,4}}(?:error\b(?=\W*$|\s*[^\w\s])|(?:\w+\W+){{0,2}}{_REASONS})"),
     ("error", "http", r"\bhttp(?:/\d(?:\.\d)?)?(?: status| error)?(?: code)?\W{0,3}[45]\d\d\b"),
     ("error", "error #|error: #|error:#|error-#|fehler #|fehler: #|fehler-#|erreur #|erreur: #|erreur : #|errore #|errore: #|erro #|erro: #|błąd #|błąd: #|ошибка #|ошибка: #|エラー#|エラー #|エラー: #", r"^\W*(?:error|fehler|erreur|errore|erro|błąd|ошибка|エラー)(?: ?: ?| |-)?\d{3}\b"),
     ("error", "oops|uh-oh|uhoh", r"^\W*(?:oops|whoops|uh-?oh)\b"),

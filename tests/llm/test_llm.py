@@ -122,11 +122,43 @@ def test_encoding_of_any_text(text):
 
     global _ENC, _OWN
     if "_ENC" not in globals():
-        path = encode.vocabulary_path()
-        _ENC = tiktoken.Encoding("own", pat_str=encode.PATTERN, mergeable_ranks=encode.read_ranks(path), special_tokens={})
-        _OWN = encode.Encoder(path, kept=50)
-    _, ids = _OWN([text])
-    assert ids.tolist() == _ENC.encode_ordinary(text) and _ENC.decode(ids.tolist()) == text
+        ranks = encode.read_ranks(encode.vocabulary_path())
+        _ENC = tiktoken.Encoding("own", pat_str=encode.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _OWN = encode.Merges(ranks)
+    ws = encode.Splitter()(text)
+    found = _OWN.replay(ws)
+    ids = [i for w in ws for i in found[w]]
+    assert ids == _ENC.encode_ordinary(text) and _ENC.decode(ids) == text
+
+
+@pytest.mark.parametrize("common", [400_000, 40, 0])
+def test_every_distinct_word_is_replayed_once(spark, reference_encoding, common):
+    r = random.Random(1)
+    texts = [sentence(r, 60) + r.choice(["", " naïve", "\n\n"]) for _ in range(300)] + [None, ""] * 3
+    d = spark.createDataFrame([(i % 200, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    n = spark.sparkContext.accumulator(0)
+    old, encode.COMMON_WORDS = encode.COMMON_WORDS, common
+    try:
+        got = sorted((x["doc_id"], list(x["ids"])) for x in encode.encode(d, replayed=n).collect())
+    finally:
+        encode.COMMON_WORDS = old
+    split = encode.Splitter()
+    assert got == sorted((i % 200, reference_encoding.encode_ordinary(t) if t else []) for i, t in enumerate(texts))
+    assert n.value == len({w for t in texts if t for w in split(t)})
+
+
+def test_pairs_that_give_one_token_merge_from_the_left():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"ba": 301, b"aba": 302}
+    m = encode.Merges(ranks)
+    word = "abaaba"
+    got = m.replay([word])[word]
+    parts = [bytes([c]) for c in word.encode()]
+    while True:  # the plain way: the first pair of least rank
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if best is None:
+            break
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    assert got == [ranks[x] for x in parts]
 
 
 def test_replay_merges_overlapping_pairs_from_the_left(merges, reference_encoding):
