@@ -2,12 +2,15 @@
 
 Method: winnowing. The least hash of every window of k-grams is kept as a
 fingerprint, those of both sides are joined, and hits are extended to the
-shared stretch. Every span of GRAM + WINDOW - 1 words that a document shares
-with an item is found.
+shared stretch, from every hit. Every span of GRAM + WINDOW - 1 words that a
+document shares with an item is found. Where the items are few enough to be
+broadcast, fingerprints, join and extension are one pass over the documents,
+without a shuffle; else both sides shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pathwright.functions.hashing import mixed
 from pathwright.functions.words import words
@@ -28,6 +32,9 @@ SKIP, COST, DROP = 3, 1.5, 6.0
 #: Bounds within which items are broadcast, checked before every run.
 ITEM_ROWS, ITEM_CHARS = 100_000, 32_000_000
 
+#: Hits held at a time, or those of one document.
+HITS = 2_000_000
+
 _LAST = np.uint64(2**64 - 1)
 
 
@@ -71,16 +78,7 @@ def fingerprints(rows: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 1_000):
                 part = batch.slice(k, 1_000)
-                if len(known) > 500_000:
-                    known.clear()
-                hashed = []
-                for t in part.column(1).to_pylist():
-                    ws = words(t)
-                    for w in ws:
-                        if w not in known:
-                            known[w] = xxhash.xxh64_intdigest(w)
-                    hashed.append([known[w] for w in ws])
-                of, position, h = winnowed(hashed)
+                of, position, h = winnowed(_hashed([words(t) for t in part.column(1).to_pylist()], known))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(position, pa.int32()), pa.array(h.view(np.int64))], names=[key, "position", "fingerprint"])
 
     return rows.mapInArrow(run, f"{key} {kind}, position int, fingerprint bigint")
@@ -160,53 +158,100 @@ def held(item: list[str], doc: list[str], hits: list[tuple[int, int]]) -> float:
     return best / max(1, len(item))
 
 
+def enough(counts: dict[str, int], size: int, doc: set[str]) -> bool:
+    """Whether so many of an item's words stand in a document at all that it can hold SHARE of them: a bound that no stretch exceeds."""
+    return sum(n for w, n in counts.items() if w in doc) >= SHARE * size
+
+
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share) of each document that holds at least half of an item's words as running text, in one or two
     stretches; share is the held part of the item's words.
 
     Case, accents, punctuation, line breaks, markup and citation marks do not matter. Items of fewer than GRAM words, and
     NULL, empty and blank texts, give no row; repeated rows of a document give one row; an empty table on either side gives
-    none. The items' fingerprints and words are broadcast if a count shows that they are within ITEM_ROWS and ITEM_CHARS;
-    else both joins shuffle, to the same result."""
-    d = fingerprints(documents, "doc_id", "text")
-    i = fingerprints(items, "item_id", "text").select("item_id", F.col("position").alias("_a"), "fingerprint")
+    none. The items are broadcast if a count shows that they are within ITEM_ROWS and ITEM_CHARS; else fingerprints and texts
+    shuffle, to the same result."""
     t = items.select("item_id", F.col("text").alias("_item")).where("item_id is not null and _item is not null and _item <> ''").dropDuplicates(["item_id"])
     rows, chars = t.agg(F.count("*"), F.coalesce(F.sum(F.length("_item")), F.lit(0))).first()
-    few = rows <= ITEM_ROWS and chars <= ITEM_CHARS
     text = documents.select("doc_id", F.col("text").alias("_doc")).where("doc_id is not null and _doc is not null and _doc <> ''")
-    hits = d.join(F.broadcast(i) if few else i, "fingerprint").select("doc_id", "item_id", F.struct("_a", F.col("position").alias("_b")).alias("_h"))
-    if few:
-        by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "_h._a", "_h._b")).alias("_hits")).join(text, "doc_id")
-        found = by_doc.select("doc_id", F.explode(_shares(t)("_doc", "_hits")).alias("_s")).select("doc_id", "_s.item_id", "_s.share")
+    if rows <= ITEM_ROWS and chars <= ITEM_CHARS:
+        found = _by_broadcast(text, t)
     else:
+        d = fingerprints(documents, "doc_id", "text")
+        i = fingerprints(items, "item_id", "text").select("item_id", F.col("position").alias("_a"), "fingerprint")
+        hits = d.join(i, "fingerprint").select("doc_id", "item_id", F.struct("_a", F.col("position").alias("_b")).alias("_h"))
         by_pair = hits.groupBy("doc_id", "item_id").agg(F.collect_set("_h").alias("_hits")).join(t, "item_id").join(text, "doc_id")
         found = by_pair.select("doc_id", "item_id", _share("_item", "_doc", "_hits").alias("share")).where(F.col("share") >= SHARE)
     return found.groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 4).alias("share"))
 
 
-def _shares(items: DataFrame):
-    """An Arrow function (document, hits) -> the items held to SHARE at least, over a broadcast of the items' words."""
-    known = items.sparkSession.sparkContext.broadcast({r["item_id"]: words(r["_item"]) for r in items.collect()})
-    kind = items.schema["item_id"].dataType.simpleString()
-
-    @F.pandas_udf(f"array<struct<item_id: {kind}, share: double>>")
-    def shares(docs: pd.Series, hits: pd.Series) -> pd.Series:
-        out = []
-        for doc, hs in zip(docs, hits):
-            by_item: dict = {}
-            for h in hs:
-                by_item.setdefault(h["item_id"], []).append((h["_a"], h["_b"]))
-            ws = words(doc)
-            each = ((i, held(known.value[i], ws, at)) for i, at in by_item.items() if i in known.value)
-            out.append([{"item_id": i, "share": s} for i, s in each if s >= SHARE])
-        return pd.Series(out)
+def _hashed(texts: list[list[str]], known: dict[str, int]) -> list[list[int]]:
+    if len(known) > 500_000:
+        known.clear()
+    for ws in texts:
+        for w in ws:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+    return [list(map(known.__getitem__, ws)) for ws in texts]
+
+
+def _by_broadcast(text: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, share) of the documents (doc_id, _doc) by a broadcast of the items' fingerprints and words; hits of some million at most are
+    held at a time, or those of one document."""
+    rows = items.orderBy("item_id").collect()
+    each = [words(r["_item"]) for r in rows]
+    of, position, h = winnowed(_hashed(each, {}))
+    order = np.argsort(h, kind="stable")
+    counts = [dict(Counter(ws)) for ws in each]
+    table = items.sparkSession.sparkContext.broadcast((h[order], of[order], position[order], each, counts, [r["item_id"] for r in rows]))
+    doc_kind, item_kind = text.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
 
-    return shares
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, item_of, item_at, each, counts, ids = table.value
+        known: dict[str, int] = {}
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                docs = [words(t) for t in part.column(1).to_pylist()]
+                of, position, h = winnowed(_hashed(docs, known))
+                low, high = np.searchsorted(prints, h, "left"), np.searchsorted(prints, h, "right")
+                n = high - low
+                found: tuple[list, list, list] = ([], [], [])
+                ends = np.searchsorted(of, np.arange(len(docs)), "right")
+                begin = 0
+                while begin < len(of):
+                    # as many documents as have some million hits together, one at least
+                    last = of[min(len(of) - 1, begin + int(np.searchsorted(np.cumsum(n[begin:]), HITS)))]
+                    end = int(ends[last])
+                    hit = np.repeat(np.arange(begin, end), n[begin:end])
+                    at = np.arange(len(hit)) - np.repeat(np.cumsum(n[begin:end]) - n[begin:end], n[begin:end]) + low[hit]
+                    pair = of[hit] * len(each) + item_of[at]
+                    by = np.argsort(pair, kind="stable")
+                    cuts = np.flatnonzero(np.diff(pair[by])) + 1
+                    doc, seen = -1, set()
+                    for group in np.split(by, cuts) if len(by) else ():
+                        d, i = int(of[hit[group[0]]]), int(item_of[at[group[0]]])
+                        if d != doc:
+                            doc, seen = d, set(docs[d])
+                        if not enough(counts[i], len(each[i]), seen):
+                            continue
+                        share = held(each[i], docs[d], list(zip(item_at[at[group]].tolist(), position[hit[group]].tolist())))
+                        if share >= SHARE:
+                            for column, value in zip(found, (d, ids[i], share)):
+                                column.append(value)
+                    begin = end
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[0], pa.int64())), pa.array(found[1], item_type), pa.array(found[2], pa.float64())], names=["doc_id", "item_id", "share"])
+
+    return text.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, share double")
 
 
 @F.pandas_udf(T.DoubleType())
 def _share(items: pd.Series, docs: pd.Series, hits: pd.Series) -> pd.Series:
-    return pd.Series([held(words(i), words(d), [(h["_a"], h["_b"]) for h in hs]) for i, d, hs in zip(items, docs, hits)], dtype="float64")
+    def one(i: list[str], d: list[str], hs) -> float:
+        return held(i, d, [(h["_a"], h["_b"]) for h in hs]) if enough(dict(Counter(i)), len(i), set(d)) else 0.0
+
+    return pd.Series([one(words(i), words(d), hs) for i, d, hs in zip(items, docs, hits)], dtype="float64")
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -221,6 +221,20 @@ def test_leaks_with_a_word_changed_in_every_six(spark):
     assert {x["doc_id"] for x in leaks.leaked(d, i).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize("every", [6, 7, 8])
+@pytest.mark.parametrize("bound", [2_000_000, 1])
+def test_leaks_with_changed_words_whatever_is_held_at_a_time(spark, every, bound):
+    r = random.Random(every)
+    items = [(i, "dev", "t", " ".join(f"x{i}y{j}" for j in range(29)) + " of the same stock phrase as all the others") for i in range(12)]
+    docs = [(i, " ".join([sentence(r, 30), *(w if (j + 1) % every else "changed" for j, w in enumerate(t.split())), sentence(r, 30)])) for i, _, _, t in items]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, split string, task string, text string")
+    old, leaks.HITS = leaks.HITS, bound
+    try:
+        assert {(x["doc_id"], x["item_id"]) for x in leaks.leaked(d, i).collect()} == {(k, k) for k in range(12)}
+    finally:
+        leaks.HITS = old
+
+
 # --- residue
 
 REAL = "The second stage ranks answers by their scores and passes them on. Two annotators labelled every example by hand. We report the mean of five runs. "
