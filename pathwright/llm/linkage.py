@@ -27,7 +27,7 @@ FAR = 40
 LONG, LONG_CHARS = 100, 1_000
 
 # Words that carry little of a title, and words that name a version of the same paper.
-STOP = "a an and are as at by can do does for from how in into is it its of on or over that the their through to towards toward under us use using via we what when with without evidence".split()
+STOP = "a an and are as at by can do does for from how in into is it its of on or over that the their through to towards toward under us use using via we what when with without".split()
 VERSION = "preprint technical report extended version poster draft abstract accepted manuscript arxiv camera ready full paper short journal conference supplementary working".split()
 
 
@@ -98,24 +98,48 @@ def _content(title: str) -> Column:
 
 
 def blocking_keys(papers: DataFrame, key: str) -> DataFrame:
-    """(key, block): bands of title words; the name in the title; the first author with the first word; the first three telling words."""
+    """(key, block): bands of title words; the name in the title; the first three telling words."""
     c = _content("title")
-    p = papers.select(key, "title", "head", "names", c.alias("_c"))
+    p = papers.select(key, "title", "head", c.alias("_c"))
     p = p.withColumn("_bands", minhash_keys(F.transform("_c", lambda w: F.xxhash64(w))))
-    first = F.split_part("title", F.lit(" "), F.lit(1))
-    others = F.array(
-        F.when(F.col("head").isNotNull(), F.xxhash64(F.lit("head"), "head")),
-        F.when(F.size("names") > 0, F.xxhash64(F.lit("author"), F.get("names", F.lit(0)), F.substring(first, 1, 3))),
-        F.when((F.size("names") > 0) & F.col("head").isNotNull(), F.xxhash64(F.lit("author"), F.get("names", F.lit(0)), F.lit("a"))),
-        F.when(F.size("_c") >= 3, F.xxhash64(F.lit("start"), F.array_join(F.slice("_c", 1, 3), " "))),
-    )
+    others = F.array(F.when(F.col("head").isNotNull(), F.xxhash64(F.lit("head"), "head")), F.when(F.size("_c") >= 3, F.xxhash64(F.lit("start"), F.array_join(F.slice("_c", 1, 3), " "))))
     return p.select(key, F.explode(F.array_distinct(F.concat("_bands", F.filter(others, lambda x: x.isNotNull())))).alias("_block"))
 
 
+def author_keys(inputs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(input_id, target_paper_id) of the pairs with one first author that share one of the rarer words of the listed title.
+
+    A pair gets no vote of its titles unless half of the listed title's words stand in the target's, so that one of any half and one more does: the
+    rarest are taken, and a common surname makes no block of its own, whatever share of the papers has it."""
+    told = lambda df, key: df.where((F.size("names") > 0) & F.col("title").isNotNull()).select(key, F.get("names", F.lit(0)).alias("_a"), _content("title").alias("_c"))
+    t = told(targets, "target_paper_id").select("target_paper_id", "_a", F.explode("_c").alias("_w"))
+    df = t.groupBy("_w").agg(F.count("*").alias("_df"))
+    i = told(inputs, "input_id").select("input_id", "_a", F.size("_c").alias("_n"), F.explode("_c").alias("_w")).join(df, "_w", "left")
+    rarest = Window.partitionBy("input_id").orderBy(F.coalesce("_df", F.lit(0)), "_w")
+    i = i.withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= F.floor(F.col("_n") / 2) + 1)
+    return i.where("_df is not null").join(t, ["_a", "_w"]).select("input_id", "target_paper_id")
+
+
+def cut_keys(inputs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(input_id, target_paper_id) of the pairs of a listed title that is cut, abbreviated or has fewer than three telling words, and a target with the
+    same first author, the same beginning of the first word, and a year beside its own; a missing year agrees with any. What is left of such titles tells no more: of one author
+    with a share of all papers their pairs grow with the square of the rows, by years."""
+    first = F.substring(F.split_part("title", F.lit(" "), F.lit(1)), 1, 3)
+    keys = lambda years: F.explode(F.transform(years, lambda y: F.xxhash64(F.get("names", F.lit(0)), first, y))).alias("_k")
+    told = lambda df: df.where((F.size("names") > 0) & F.col("title").isNotNull())
+    none, every = F.lit(-1), F.lit(-2)
+    i = told(inputs).where(F.col("cut") | (F.size(_content("title")) < 3))
+    i = i.select("input_id", keys(F.when(F.col("year").isNull(), F.array(every)).otherwise(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1, none))))
+    t = told(targets).select("target_paper_id", keys(F.array(F.coalesce("year", none), every)))
+    return i.join(t, "_k").select("input_id", "target_paper_id")
+
+
 def candidates(inputs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(input_id, target_paper_id) of the pairs that share a block."""
+    """(input_id, target_paper_id) of the pairs that share a block, or a first author and a rarer word, or, for what is left of a cut title, a first
+    author, a beginning and a year."""
     i, t = blocking_keys(inputs.where("title is not null"), "input_id"), blocking_keys(targets, "target_paper_id")
-    return i.join(t, "_block").select("input_id", "target_paper_id").distinct()
+    pairs = i.join(t, "_block").select("input_id", "target_paper_id")
+    return pairs.unionByName(author_keys(inputs, targets)).unionByName(cut_keys(inputs, targets)).distinct()
 
 
 _STOP, _VERSION = frozenset(STOP), frozenset(VERSION)

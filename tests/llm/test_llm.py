@@ -553,6 +553,25 @@ def test_linkage_finds_dirty_copies_and_leaves_follow_ups(spark):
     assert linkage.links(i.limit(0), c).count() == 0 and linkage.links(i, c.limit(0)).count() == 0
 
 
+def test_a_common_author_makes_no_block(spark):
+    """The first author of a tenth of the papers: four times the rows must not give more than some five times the candidates; each copy is a candidate."""
+    sizes = []
+    for n in (400, 1_600):
+        r = random.Random(n)
+        papers = [(f"{i:040x}", " ".join(f"w{r.randrange(3_000)}" for _ in range(8)), None, r.randrange(2005, 2024)) for i in range(n)]
+        names = [["common"] if i % 10 == 0 else [f"n{i}"] for i in range(n)]
+        none = spark.createDataFrame([], "input_id long, title string, cut boolean, names array<string>, head string, year int")
+        from pathwright.functions.bibliographic import title_key
+
+        t = spark.createDataFrame([(k, x, None, names[i], y) for i, (k, x, _, y) in enumerate(papers)], "target_paper_id string, title string, head string, names array<string>, year int").withColumn("title", title_key("title"))
+        i = spark.createDataFrame([(i, x, False, names[i], None, y) for i, (_, x, _, y) in enumerate(papers)], none.schema).withColumn("title", title_key("title"))
+        got = {(x["input_id"], x["target_paper_id"]) for x in linkage.candidates(i, t).collect()}
+        assert {(i, k) for i, (k, _, _, _) in enumerate(papers)} <= got
+        sizes.append(len([1 for a, b in got if a % 10 == 0 and int(b, 16) % 10 == 0]))
+        assert linkage.candidates(none, t).count() == 0
+    assert sizes[1] < 5.5 * sizes[0]
+
+
 def test_title_votes():
     b = "a survey of fast parsing in legal texts"
     assert linkage.title_votes(b, b, False) == (4, 0)
