@@ -554,11 +554,12 @@ def test_linkage_finds_dirty_copies_and_leaves_follow_ups(spark):
 
 
 def test_a_common_author_makes_no_block(spark):
-    """The first author of a tenth of the papers: four times the rows must not give more than some five times the candidates; each copy is a candidate."""
+    """The first author of a tenth of the papers, whose titles differ as those of others do: four times the rows give no more than some five times the
+    candidates, and each copy is one."""
     sizes = []
     for n in (400, 1_600):
         r = random.Random(n)
-        papers = [(f"{i:040x}", " ".join(f"w{r.randrange(3_000)}" for _ in range(8)), None, r.randrange(2005, 2024)) for i in range(n)]
+        papers = [(f"{i:040x}", " ".join(f"w{r.randrange(8 * n)}" for _ in range(8)), None, r.randrange(2005, 2024)) for i in range(n)]
         names = [["common"] if i % 10 == 0 else [f"n{i}"] for i in range(n)]
         none = spark.createDataFrame([], "input_id long, title string, cut boolean, names array<string>, head string, year int")
         from pathwright.functions.bibliographic import title_key
