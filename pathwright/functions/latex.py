@@ -51,16 +51,16 @@ def cited_keys(c: Column) -> Column:
 def cite_group_pattern(keys: Column) -> Column:
     """A pattern for whole citation commands, without optional arguments, that hold one of the keys; NULL for no keys."""
     escaped = F.transform(keys, lambda k: F.concat(F.lit(r"\Q"), k, F.lit(r"\E")))
-    return F.when(F.size(keys) > 0, F.concat(F.lit(r"\\cite[a-zA-Z]*\*?\{(?:[^}]*,)?\s*(?:"), F.array_join(escaped, "|"), F.lit(r")\s*(?:,[^}]*)?\}")))
+    return F.when(F.size(keys) > 0, F.concat(F.lit(r"\\cite[a-zA-Z]*\s*\{(?:[^}]*,)?\s*(?:"), F.array_join(escaped, "|"), F.lit(r")\s*(?:,[^}]*)?\}")))
 
 
 def mark_target(c: Column, keys: Column, surname: Column, year: Column, marker: str = "<CITED HERE>") -> Column:
-    """Citation commands of the target as the marker: those with one of its keys, or with a key that holds its first author's surname
-    and its year or one beside it. Needs no Python: the pattern is a column of its own."""
+    """Citation commands of the target as the marker: those with one of its keys, or with one key that holds both its first author's surname, in any
+    case, and its year or one beside it. White space may stand before the brace. Needs no Python: the pattern is a column of its own."""
     years = F.array_join(F.transform(F.array(year - 1, year, year + 1), lambda y: y.cast("string")), "|")
     both = F.when(
-        (F.length(surname) > 1) & year.isNotNull(),
-        F.concat(F.lit(r"(?i)\\cite[a-z]*\*?\{(?=[^}]*\Q"), F.lower(surname), F.lit(r"\E)(?=[^}]*(?:"), years, F.lit(r"))[^}]*\}")),
+        (F.length(surname) > 0) & year.isNotNull(),
+        F.concat(F.lit(r"\\cite[a-zA-Z]*\s*\{(?:[^}]*,)?(?=[^},]*(?iu:\Q"), surname, F.lit(r"\E))(?=[^},]*(?:"), years, F.lit(r"))[^}]*\}")),
     )
     never = F.lit(r"(?!)")
     s = F.regexp_replace(c, F.coalesce(cite_group_pattern(keys), never), F.lit(marker))

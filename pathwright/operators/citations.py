@@ -112,7 +112,7 @@ def marked(text: Column, surname: Column, year: Column, title: Column, number: C
     s = _once(s, lambda x: then(x, dated))
     s = F.when(hit, s).otherwise(F.reduce(names, s, then))
     s = _once(s, bracket)
-    return _once(s, lambda x: F.struct(x.alias("text"), (x != stripped(text)).alias("changed")))
+    return _once(s, lambda x: F.struct(x.alias("text"), (x != collapsed(text)).alias("changed")))
 
 
 def mark_contexts(contexts: DataFrame, papers: DataFrame) -> DataFrame:

@@ -53,9 +53,9 @@ _NODES = "level string, node_id binary, value string"
 _BRIDGE = "level string, parent_id binary, ordinal int, child_id binary"
 
 
-def decoded(value: object, depth: int = 4) -> object:
+def decoded(value: object) -> object:
     """A list or object that is given as JSON text, however often quoted; anything else as it is."""
-    while isinstance(value, str) and depth:
+    while isinstance(value, str):  # each step makes the text shorter
         text = value.strip().lstrip("﻿")
         if text[:1] not in ("{", "[", '"') and text != "null":
             return value
@@ -65,7 +65,7 @@ def decoded(value: object, depth: int = 4) -> object:
             return value
         if isinstance(inner, (int, float, bool)):
             return value
-        value, depth = inner, depth - 1
+        value = inner
     return value
 
 

@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from pathwright.functions.text import fallback_queries
 from pathwright.operators import candidates as cand, metrics, progress
+from pathwright.plans.judging import matched_predictions
 
 MODES = ("B1", "B3", "B4")
 
 
 def tasks_of(claims: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
     """(paper_id, claim_idx, mode, claim, target_ids, target_ingredient_groups, basis): claims times modes. basis holds the texts queries are made
-    of: none for B1, gold contributions for B3, predicted descriptions for B4."""
+    of: none for B1, gold contributions for B3, predicted descriptions for B4, those with a full match for B4_MATCHED, which needs the claims' judged
+    matched_pairs (predicted_idx, match), recall_judgments (covered, best_match_idx), or both."""
     c = progress.grid(claims, mode=list(modes))
+    pairs = F.col("matched_pairs") if "matched_pairs" in claims.columns else F.array().cast("array<struct<predicted_idx:int,match:string>>")
+    judgments = F.col("recall_judgments") if "recall_judgments" in claims.columns else F.array().cast("array<struct<covered:boolean,best_match_idx:int>>")
+    if "B4_MATCHED" in modes and not {"matched_pairs", "recall_judgments"} & set(claims.columns):
+        raise ValueError("B4_MATCHED needs matched_pairs or recall_judgments of the claims")
     gold, predicted = F.transform("gold_ingredients", lambda i: i["enabling_contribution"]), F.transform("predicted_ingredients", lambda i: i["description"])
-    basis = F.when(F.col("mode") == "B3", gold).when(F.col("mode").isin("B4", "B4_MATCHED"), predicted)
+    basis = F.when(F.col("mode") == "B3", gold).when(F.col("mode") == "B4", predicted)
+    if "B4_MATCHED" in modes:
+        matched = F.transform(matched_predictions(F.col("predicted_ingredients"), pairs, judgments), lambda i: i["description"])
+        basis = basis.when(F.col("mode") == "B4_MATCHED", matched)
     return c.select("paper_id", "claim_idx", "mode", "claim", "target_ids", "target_ingredient_groups", basis.alias("basis"))
 
 

@@ -46,8 +46,8 @@ _CORPUS_SQL = """corpus AS (
   ) WHERE r = 1)"""
 
 
-def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tasks = grounding.tasks_of(_claims(s, d).where(F.size("target_ids") > 0))
+def _ranked(s: SparkSession, d: str, modes: tuple[str, ...] = grounding.MODES) -> tuple[DataFrame, DataFrame]:
+    tasks = grounding.tasks_of(_claims(s, d).where(F.size("target_ids") > 0), modes)
     corpus = _corpus(s, d)
     return tasks, grounding.fused(tasks, lambda q: providers.lexical_search(q, corpus))
 
@@ -69,15 +69,17 @@ _FUSED_SQL = rf"""
 ), postings AS (
   SELECT hit_paper_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))) AS t FROM corpus
 ), df AS (
-  SELECT t FROM postings GROUP BY t HAVING count(*) <= (SELECT count(*) FROM corpus) * 0.02 OR count(*) <= 10
+  SELECT t, CAST(round(1000 * ln(1 + (SELECT count(DISTINCT hit_paper_id) FROM postings) / count(*))) AS BIGINT) AS x FROM postings GROUP BY t
 ), worded AS (
   SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS ws FROM queries
 ), terms AS (
-  SELECT paper_id, claim_idx, mode, query_idx, len(ws) AS n, unnest(ws) AS t FROM worded
+  SELECT query, unnest(any_value(ws)) AS t FROM worded GROUP BY query
 ), scored AS (
-  SELECT paper_id, claim_idx, mode, query_idx, hit_paper_id, count(*) / max(n) AS score FROM terms JOIN df USING (t) JOIN postings USING (t) GROUP BY ALL
+  SELECT query, hit_paper_id, sum(x) AS score FROM terms JOIN df USING (t) JOIN postings USING (t) GROUP BY ALL
+), top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, hit_paper_id) AS rank FROM scored) WHERE rank <= 20
 ), hits AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, claim_idx, mode, query_idx ORDER BY score DESC, hit_paper_id) AS rank FROM scored) WHERE rank <= 20
+  SELECT paper_id, claim_idx, mode, query_idx, hit_paper_id, rank FROM worded JOIN top USING (query)
 ), grouped AS (
   SELECT paper_id, claim_idx, mode, hit_paper_id AS cand_paper_id, min(rank) AS best_rank, count(*) AS frequency, min({{'q': query_idx, 'r': rank}}) AS first_at FROM hits GROUP BY ALL
 ), fused AS (
@@ -133,8 +135,8 @@ def _reranked(tasks: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def llm_rerank(s: SparkSession, d: str) -> DataFrame:
     """The reranked candidates of mode B1; llm_rerank_modes has all modes."""
-    tasks, ranked = _ranked(s, d)
-    return _reranked(tasks.where("mode = 'B1'"), ranked.where("mode = 'B1'")).select("paper_id", "claim_idx", "cand_paper_id", "llm_score", "missing_llm_score", "rank")
+    tasks, ranked = _ranked(s, d, ("B1",))
+    return _reranked(tasks, written(ranked)).select("paper_id", "claim_idx", "cand_paper_id", "llm_score", "missing_llm_score", "rank")
 
 
 def llm_rerank_modes(s: SparkSession, d: str) -> DataFrame:

@@ -106,6 +106,21 @@ def reference_id(ref: Column, source: Column) -> Column:
     return F.nullif(first_given(ref["ref_id"], ref["bib_key"], source["ref_id"], source["bib_key"], source["paper_id"], ext("ACL"), ext("ArXiv"), ext("DOI")), F.lit(""))
 
 
+def with_reference_ids(rows: DataFrame, ref: str, source: str) -> DataFrame:
+    """rows with ref_key, the first id of a reference struct and its paper's struct, whichever spelling the fields have and whichever there are:
+    the reference's own, its key, the paper's, then the ACL, ArXiv and DOI ids."""
+
+    def given(column: str, *fields: str) -> list[Column]:
+        have = {f.name for f in rows.schema[column].dataType.fields}
+        return [F.col(f"{column}.{f}").cast("string") for f in fields if f in have]
+
+    have = {f.name for f in rows.schema[source].dataType.fields}
+    maps = [F.col(f"{source}.{f}") for f in ("external_ids", "externalIds") if f in have]
+    outer = [F.coalesce(*(F.try_element_at(m, F.lit(k)) for m in maps)) for k in ("ACL", "ArXiv", "DOI")] if maps else []
+    every = [*given(ref, "ref_id", "bib_key"), *given(source, "ref_id", "bib_key", "paperId", "paper_id"), *outer]
+    return rows.withColumn("ref_key", F.nullif(first_given(*every), F.lit("")))
+
+
 def silver_tasks(annotations: DataFrame, papers: int = 0) -> DataFrame:
     """(paper_id, claim_idx, claim_id, claim): the claims of annotated papers by place, of the first papers by id; all if papers is 0."""
     a = annotations if papers <= 0 else annotations.join(annotations.select("paper_id").distinct().orderBy("paper_id").limit(papers), "paper_id", "left_semi")

@@ -12,13 +12,17 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathwright.functions.text import first_given, split_words
+from pathwright.session import written
 
 #: What the message of a failure that may pass says.
-TRANSIENT = ("timeout", "timed out", "rate limit", "429", "500", "502", "503", "504", "overloaded", "temporarily", "connection", "unavailable")
+TRANSIENT = ("503", "serviceunavailable", "service unavailable", "unavailable", "temporarily", "timeout", "timed out", "rate limit", "ratelimit", "429", "500", "502", "504")
+#: What else passes here.
+ALSO_TRANSIENT = ("overloaded", "connection")
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,7 @@ class Retry:
                 return f(), None
             except Exception as e:  # a failure of any kind is data
                 error = f"{type(e).__name__}: {e}"
-                if not any(t in error.lower() for t in TRANSIENT):
+                if not any(t in error.lower() for t in (*TRANSIENT, *ALSO_TRANSIENT)):
                     break
                 if n + 1 < self.attempts:
                     self.sleep(self.wait(n))
@@ -85,26 +89,95 @@ def repaired(rows: DataFrame, parse: Callable[[Column], Column], first: str, *re
     return rows.withColumn("value", value).withColumn("repaired", values[0].isNull() & value.isNotNull()).withColumn("error", F.when(value.isNull(), F.lit("no answer parses")))
 
 
-def lexical_search(queries: DataFrame, corpus: DataFrame, k: int = 20, common: float = 0.02, key: Sequence[str] = ("paper_id", "claim_idx", "mode", "query_idx")) -> DataFrame:
-    """(key, hit_paper_id, title, year, score, rank): the k titles with the greatest share of a query's distinct terms, ties by id.
+def search_terms(c: Column) -> Column:
+    """The distinct lower-case words of letters and digits."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
-    Terms are lower-case words of letters and digits that stand in at most the share `common` of the titles, or in ten of them; others do not
-    tell titles apart and are no terms. queries: (key, query); corpus: (hit_paper_id, title, year). Inverted index as a join: each query meets
-    only the titles on its terms' postings; only the best k of each query leave the ranking."""
-    terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    n = corpus.agg(F.count("*").alias("_n"))
-    postings = corpus.select("hit_paper_id", F.explode(terms(F.col("title"))).alias("_t"))
-    df = postings.groupBy("_t").agg(F.count("*").alias("_df")).join(F.broadcast(n), F.lit(True)).where((F.col("_df") <= F.col("_n") * common) | (F.col("_df") <= 10)).select("_t")
+
+def lexical_search(queries: DataFrame, corpus: DataFrame, k: int = 20, key: Sequence[str] = ("paper_id", "claim_idx", "mode", "query_idx")) -> DataFrame:
+    """(key, hit_paper_id, title, year, score, rank): the k titles with the greatest weight of a query's distinct terms, ties by id.
+
+    Every term counts, a common one less: its weight is round(1000 ln(1 + titles / titles with it)), score the matched share of the weights of the
+    query's known terms. Queries without a known term have no hits. queries: (key, query); corpus: (hit_paper_id, title, year), ids unique. Equal
+    queries are searched once. An index of at most INDEX_POSTINGS postings is broadcast; a larger one is joined, rarest terms first."""
+    titles = corpus.select("hit_paper_id", search_terms(F.col("title")).alias("_w")).where("hit_paper_id is not null and size(_w) > 0")
     # equal queries, of modes and claims, are searched once
-    q = queries.select("query").distinct().select("query", terms(F.col("query")).alias("_w")).where(F.size("_w") > 0)
-    q = q.select("query", F.size("_w").alias("_size"), F.explode("_w").alias("_t")).join(df, "_t")
-    s = q.join(postings.join(df, "_t"), "_t").groupBy("query", "hit_paper_id").agg((F.count("*") / F.max("_size")).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "hit_paper_id")
-    s = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    q = queries.select("query").distinct().select("query", search_terms(F.col("query")).alias("_w")).where(F.size("_w") > 0)
+    small = titles.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0] <= INDEX_POSTINGS
+    s = _search_index(q, titles, k) if small else _search_joined(q, titles, k)
     s = s.join(corpus.select("hit_paper_id", "title", "year"), "hit_paper_id")
     return queries.select(*key, "query").join(s, "query").drop("query")
 
 
+#: Postings of an index that is broadcast: some 12 bytes each, and the words.
+INDEX_POSTINGS = 4_000_000
+
+
+def _search_index(q: DataFrame, titles: DataFrame, k: int) -> DataFrame:
+    """(query, hit_paper_id, score, rank) by a broadcast of the inverted index."""
+    rows = titles.orderBy("hit_paper_id").toArrow().combine_chunks()
+    ids, lists = rows.column("hit_paper_id"), rows.column("_w")
+    n = rows.num_rows
+    flat = pa.chunked_array([lists.combine_chunks().flatten()] if n else [pa.array([], pa.string())]).combine_chunks().dictionary_encode()
+    terms, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(n), lists.combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if n else [])
+    order = np.argsort(codes, kind="stable")
+    starts = np.searchsorted(codes[order], np.arange(len(terms) + 1))
+    weights = np.round(1000 * np.log(1 + n / np.maximum(np.diff(starts), 1))).astype(np.int64)
+    table = q.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, starts, of[order].astype(np.int32), weights, n, ids.combine_chunks() if n else pa.array([], ids.type)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, starts, docs, weights, n, ids = table.value
+        score = np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            for part in (batch.slice(j, 2_000) for j in range(0, batch.num_rows, 2_000)):
+                who, hits, scores, ranks = [], [], [], []
+                for i, ws in enumerate(part.column(1).to_pylist()):
+                    known = [at[w] for w in ws if w in at]
+                    if not known:
+                        continue
+                    score[:] = 0
+                    for t in known:
+                        score[docs[starts[t] : starts[t + 1]]] += weights[t]
+                    found = np.flatnonzero(score)
+                    if len(found) > k:
+                        least = np.partition(score[found], len(found) - k)[len(found) - k]
+                        found = found[score[found] >= least]
+                    found = found[np.lexsort((found, -score[found]))][:k]
+                    who.append(np.full(len(found), i))
+                    hits.append(found)
+                    scores.append(score[found] / sum(int(weights[t]) for t in known))
+                    ranks.append(np.arange(1, len(found) + 1, dtype=np.int32))
+                join = lambda x, t: np.concatenate([np.empty(0, t), *x]).astype(t)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(join(who, np.int64))), ids.take(pa.array(join(hits, np.int64))).cast(pa.string()), pa.array(join(scores, np.float64)), pa.array(join(ranks, np.int32))],
+                    names=["query", "hit_paper_id", "score", "rank"],
+                )
+
+    return q.select("query", "_w").mapInArrow(run, "query string, hit_paper_id string, score double, rank int")
+
+
+def _search_joined(q: DataFrame, titles: DataFrame, k: int) -> DataFrame:
+    """(query, hit_paper_id, score, rank) by joins: titles that share one of the rarer half of a query's terms are scored; where the k-th of them
+    outweighs all the commoner terms together, no other title can come before it. The other queries meet the postings of all their terms."""
+    n = titles.count()
+    postings = titles.select("hit_paper_id", F.explode("_w").alias("_t"))
+    df = postings.groupBy("_t").agg(F.round(1000 * F.log(1 + F.lit(float(n)) / F.count("*"))).cast("long").alias("_x"))
+    t = q.select("query", F.explode("_w").alias("_t")).join(df, "_t")
+    t = t.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_x"), "_t"))).withColumn("_m", F.count("*").over(Window.partitionBy("query")))
+    t = written(t)
+    told = t.groupBy("query").agg(F.collect_list(F.struct("_t", "_x")).alias("_q"), F.sum("_x").alias("_all"), F.sum(F.when(F.col("_r") > F.ceil(F.col("_m") / 2), F.col("_x")).otherwise(0)).alias("_rest"))
+    order = Window.partitionBy("query").orderBy(F.desc("_s"), "hit_paper_id")
+    best = lambda s: s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    pairs = t.where(F.col("_r") <= F.ceil(F.col("_m") / 2)).join(postings, "_t").select("query", "hit_paper_id").distinct()
+    weight = F.aggregate(F.filter("_q", lambda x: F.array_contains("_w", x["_t"])), F.lit(0).cast("long"), lambda a, x: a + x["_x"])
+    first = written(best(pairs.join(titles, "hit_paper_id").join(told, "query").select("query", "hit_paper_id", "_all", "_rest", weight.alias("_s"))))
+    sure = first.where((F.col("rank") == k) & (F.col("_s") > F.col("_rest"))).select("query")
+    whole = t.join(sure, "query", "left_anti").join(postings, "_t").groupBy("query", "hit_paper_id").agg(F.sum("_x").alias("_s")).join(told.select("query", "_all"), "query")
+    out = first.join(sure, "query", "left_semi").select("query", "hit_paper_id", "_all", "_s", "rank").unionByName(best(whole))
+    return out.select("query", "hit_paper_id", (F.col("_s") / F.col("_all")).alias("score"), "rank")
+
+
 def agent_searches(calls: DataFrame, most: int, key: Sequence[str] = ("paper_id",)) -> DataFrame:
     """The searches within an agent's budget: the first `most` calls of each run. calls: (key, call, ...)."""
     w = Window.partitionBy(*key).orderBy("call")

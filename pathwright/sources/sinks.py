@@ -43,8 +43,10 @@ def run_record(spark: SparkSession, run_id: str, settings: dict[str, str]) -> Da
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A Markdown table of a report of at most so many rows."""
-    rows = df.limit(most).collect()
+    """A Markdown table of a report of at most so many rows; a longer one is an error, as rows must not be left out unseen."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the report has more than {most} rows")
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(x) for x in r) + " |" for r in rows])

@@ -8,6 +8,7 @@ import json
 import random
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pathwright.sources import exports, providers, sinks, tex
@@ -100,7 +101,7 @@ def test_pages_and_lists(spark):
 def test_search(spark):
     c = spark.createDataFrame([("t1", "fast parser trees", 2020), ("t2", "slow parser", None), ("t3", "cats", 1)], "hit_paper_id string, title string, year int")
     q = spark.createDataFrame([("p", 0, "B1", 1, "a fast PARSER"), ("p", 0, "B1", 2, "")], "paper_id string, claim_idx int, mode string, query_idx int, query string")
-    assert sorted((r["rank"], r["hit_paper_id"], round(r["score"], 3)) for r in providers.lexical_search(q, c).collect()) == [(1, "t1", 0.667), (2, "t2", 0.333)]
+    assert sorted((r["rank"], r["hit_paper_id"], round(r["score"], 3)) for r in providers.lexical_search(q, c).collect()) == [(1, "t1", 1.0), (2, "t2", 0.398)]  # of the weights of the known terms
 
 
 def test_resolution(spark):
@@ -140,3 +141,127 @@ def test_streaming(spark, tmp_path):
         q = stream.process(s, lambda b: b.withColumn("w", F.col("v") + 1), out, chk, ["k"])
         q.awaitTermination(120)
     assert sorted((r["k"], r["w"]) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 3)]
+
+
+# --- search
+
+
+def _searched(spark, queries, titles, k=20):
+    q = spark.createDataFrame([("p", i, "B1", 1, t) for i, t in enumerate(queries)], "paper_id string, claim_idx int, mode string, query_idx int, query string")
+    c = spark.createDataFrame(titles, "hit_paper_id string, title string, year int")
+    return {(r["claim_idx"], r["rank"]): (r["hit_paper_id"], round(r["score"], 9)) for r in providers.lexical_search(q, c, k).collect()}
+
+
+def test_search_keeps_terms_that_stand_in_every_title(spark):
+    titles = [(f"t{i:03d}", f"Neural parsing of the {i}th kind", 2000) for i in range(600)]
+    got = _searched(spark, ["neural parsing", "unknown words only", "", "neural 17th"], titles)
+    assert [got[0, r][0] for r in range(1, 21)] == [f"t{i:03d}" for i in range(20)] and got[3, 1][0] == "t017"
+    assert {i for i, _ in got} == {0, 3} and _searched(spark, ["a"], []) == {}
+
+
+def test_search_by_joins_is_search_by_index(spark):
+    r = random.Random(4)
+    word = lambda: f"w{int(r.paretovariate(0.6)) % 300}"
+    titles = [(f"t{i:03d}", " ".join(word() for _ in range(r.randrange(9))) if i % 50 else None, None) for i in range(400)]
+    queries = [" ".join(word() for _ in range(r.randrange(1, 10))) for _ in range(60)]
+    few = _searched(spark, queries, titles, 7)
+    old, providers.INDEX_POSTINGS = providers.INDEX_POSTINGS, 0
+    try:
+        assert _searched(spark, queries, titles, 7) == few and len(few) > 200
+    finally:
+        providers.INDEX_POSTINGS = old
+
+
+def test_failures_that_may_pass():
+    calls = []
+
+    def f(message):
+        def g():
+            calls.append(message)
+            raise RuntimeError(message)
+
+        return g
+
+    retry = providers.Retry(attempts=3, sleep=lambda s: None)
+    for message, n in (("RateLimitError: slow down", 3), ("ServiceUnavailable", 3), ("bad key", 1), ("overloaded", 3)):
+        calls.clear()
+        retry.call(f(message))
+        assert len(calls) == n
+
+
+def test_references_of_either_spelling(spark):
+    from pathwright.sources.exports import with_reference_ids
+
+    raw = spark.createDataFrame([(("",), ("s2a", {"ACL": "x"})), ((None,), (None, {"ArXiv": "1", "DOI": "2"})), (("own",), ("s2b", None)), ((None,), (None, None))], "r struct<ref_id: string>, s struct<paperId: string, externalIds: map<string,string>>")
+    assert [x["ref_key"] for x in with_reference_ids(raw, "r", "s").collect()] == ["s2a", "1", "own", None]
+
+
+def test_markdown_leaves_nothing_out_unseen(spark):
+    assert sinks.markdown(spark.range(3), 3).count("\n") == 4
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(4), 3)
+
+
+def test_matched_predictions_are_what_b4_matched_asks_with(spark):
+    from pathwright.plans import grounding
+
+    row = ("p", 0, "claim", ["t"], [["t"]], [("gold",)], [("first",), ("second",), ("third",)])
+    ddl = "paper_id string, claim_idx int, claim string, target_ids array<string>, target_ingredient_groups array<array<string>>, gold_ingredients array<struct<enabling_contribution: string>>, predicted_ingredients array<struct<description: string>>"
+    pairs = "matched_pairs array<struct<predicted_idx: int, match: string>>, recall_judgments array<struct<covered: boolean, best_match_idx: int>>"
+    modes = ("B4", "B4_MATCHED")
+    basis = lambda *more: {r["mode"]: r["basis"] for r in grounding.tasks_of(spark.createDataFrame([row + more], f"{ddl}, {pairs}"), modes).collect()}
+    assert basis([(2, "FULL"), (1, "partial")], [(True, 3)]) == {"B4": ["first", "second", "third"], "B4_MATCHED": ["second"]}
+    assert basis([(1, "partial")], [(True, 3), (False, 1)])["B4_MATCHED"] == ["third"] and basis(None, None)["B4_MATCHED"] == []
+    with pytest.raises(ValueError):
+        grounding.tasks_of(spark.createDataFrame([row], ddl), modes)
+
+
+def test_marks_need_surname_and_year_in_one_key(spark):
+    from pyspark.sql import functions as F
+    from pathwright.functions.latex import mark_target
+
+    texts = [r"\cite{smith2010,jones2020}", r"\citep {a,Smith2021x}", r"\cite{ own , b}", r"\cite{smith2018}", r"\cite{}"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [x["m"] for x in d.orderBy("i").select(mark_target(F.col("t"), F.array(F.lit("own")), F.lit("Smith"), F.lit(2020)).alias("m")).collect()]
+    assert got == [texts[0], "<CITED HERE>", "<CITED HERE>", texts[3], texts[4]]
+    one = d.where("i = 1").select(mark_target(F.col("t"), F.array().cast("array<string>"), F.lit("s"), F.lit(2020)).alias("m")).first()["m"]
+    assert one == "<CITED HERE>"
+
+
+def test_json_quoted_however_often(spark):
+    import json
+
+    from pathwright.operators.nested import decoded
+
+    text = '{"claims": []}'
+    for _ in range(9):
+        text = json.dumps(text)
+    assert decoded(text) == {"claims": []} and decoded('"x"') == "x"
+
+
+def test_a_text_with_two_markers_is_not_changed_by_itself(spark):
+    from pyspark.sql import functions as F
+    from pathwright.operators.citations import marked
+
+    d = spark.createDataFrame([("<CITED HERE> <CITED HERE> as is",), ("as [3] says",)], "t string")
+    none = F.lit(None).cast("string")
+    assert [x["c"] for x in d.select(marked(F.col("t"), F.lit(""), F.lit(None).cast("int"), F.lit(""), none)["changed"].alias("c")).collect()] == [False, True]
+
+
+def test_best_paragraphs_against_all_pairs(spark):
+    from pathwright.operators.paragraphs import best_paragraphs
+
+    r = random.Random(6)
+    word = lambda: f"w{int(r.paretovariate(0.5)) % 60}"
+    text = lambda n: " ".join(word() for _ in range(r.randrange(n)))
+    c = [("p", i, text(12)) for i in range(60)] + [("q", 900, "w1 w2"), ("p", 901, None)]
+    p = [("p", i, text(25)) for i in range(60)] + [("z", 5, "w1 w2")]
+    for least in (0.5, 1 / 3, 1.0):
+        want = {}
+        for k, i, t in c:
+            ws = set((t or "").split())
+            scored = [(len(ws & set(x.split())) / len(ws), -j) for kk, j, x in p if kk == k and ws]
+            if scored and max(scored)[0] >= least:
+                want[i] = (-max(scored)[1], round(max(scored)[0], 3))
+        got = best_paragraphs(spark.createDataFrame(c, "citing_paper_id string, context_id int, text string"), spark.createDataFrame(p, "citing_paper_id string, p_idx int, paragraph string"), least=least)
+        assert {x["context_id"]: (x["p_idx"], x["overlap"]) for x in got.collect()} == want
