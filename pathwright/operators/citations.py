@@ -156,6 +156,12 @@ def with_default_label(contexts: DataFrame, labels: DataFrame, key: Sequence[str
     return contexts.join(l, list(key), "left").fillna({"label": "Background", "confidence": 0.0})
 
 
+def softmax(scores: Column) -> Column:
+    """Class scores as probabilities; the greatest is subtracted first, so that no score is too large. NULL and empty lists stay as they are."""
+    e = F.transform(scores, lambda v: F.exp(v.cast("double") - F.array_max(scores).cast("double")))
+    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x))
+
+
 def confidence_margin(probabilities: Column) -> Column:
     """struct(confidence, margin): the greatest of the class probabilities, and how far it is above the next."""
     p = F.sort_array(probabilities, asc=False)

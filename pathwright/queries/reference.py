@@ -201,7 +201,7 @@ def match_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def judged_claims(s: SparkSession, d: str) -> DataFrame:
-    """Matching size and metrics per claim; iterative, so without SQL."""
+    """Matching size and metrics per claim; the SQL takes the least over all sets of references instead of searching."""
     c, e = _edges(s, d)
     return metrics.matching_metrics(matching.judged(c.drop("gold_ingredients", "predicted_ingredients"), e)).select("paper_id", "claim_idx", "n_reference", "n_predicted", "n_matched", "n_partial", "recall", "precision", "f1")
 
@@ -432,8 +432,7 @@ def title_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def comment_strip(s: SparkSession, d: str) -> DataFrame:
-    """Documents of any language without their LaTeX comments. The pattern looks behind, so the SQL, which covers lang 'en' only, splits at backslashes
-    that escape."""
+    """Documents of any language without their LaTeX comments. The pattern looks behind, so the SQL splits at backslashes that escape."""
     return load(s, d, "documents").where("text is not null").select("doc_id", latex.without_comments(F.col("text")).alias("text"))
 
 
@@ -570,7 +569,7 @@ SELECT paperId, fetched_at, CASE WHEN length(s) > 120 THEN regexp_replace(s[1:12
         "arxiv_ids": r"SELECT task_id, loaded_at, nullif(regexp_extract(paper_id, '(\d{4}\.\d{4,5}(v\d+)?)', 1), '') AS arxiv_id FROM claim_tasks",
         "title_overlap": rf"""WITH {_CLAIMS_SQL}, x AS (SELECT paper_id, claim_idx, i - 1 AS position, predicted_ingredients[i] AS p FROM (SELECT *, unnest(generate_series(1, len(predicted_ingredients))) AS i FROM claims))
 SELECT paper_id, claim_idx, position, coalesce(len(list_filter(regexp_split_to_array(lower(p.ref_title), '{_SPACES}'), lambda w: length(w) > 4 AND contains(lower(p.description), w))) > 0, false) AS leaked FROM x""",
-        "comment_strip": r"""SELECT doc_id, replace(regexp_replace(replace(regexp_replace(text, '(?s)\\begin\{comment\}.*?\\end\{comment\}', '', 'g'), '\%', chr(1)), '%[^\n]*', '', 'g'), chr(1), '\%') AS text FROM documents WHERE text IS NOT NULL AND lang = 'en'""",
+        "comment_strip": r"""SELECT doc_id, replace(regexp_replace(replace(regexp_replace(text, '(?s)\\begin\{comment\}.*?\\end\{comment\}', '', 'g'), '\%', chr(1)), '%[^\n]*', '', 'g'), chr(1), '\%') AS text FROM documents WHERE text IS NOT NULL""",
         "section_titles": rf"""WITH s AS (SELECT doc_id, {_SECTIONS} AS s FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, i - 1 AS position, s[i] AS p FROM (SELECT *, unnest(generate_series(1, len(s))) AS i FROM s)),
 t AS (SELECT *, regexp_extract(p, '^\\section\*?\{{([^{{}}]*)\}}', 1) AS title, regexp_replace(p, '^\\section\*?\{{[^{{}}]*\}}', '') AS body FROM x)
 SELECT doc_id, position, title, array_to_string({_PLAIN.format("title")}, ' ') AS key, length(body) AS n_chars FROM t""",
