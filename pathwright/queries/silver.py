@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathwright.functions import latex, text
 from pathwright.operators import candidates as cand, citations as cit, clusters as clu, metrics, paragraphs as par, progress
-from pathwright.plans import grounding, judging
+from pathwright.plans import grounding, judging, steps
 from pathwright.queries import reference as ref
 from pathwright.sources import exports
 from pathwright.tables import load
@@ -223,8 +223,30 @@ def comparison(s: SparkSession, d: str) -> DataFrame:
     return metrics.comparison_summary(c.select("source", F.when(F.col("claim_idx") <= 3, F.col("claim_idx")).alias("c1_score"), F.col("match").alias("c2_type_match"), F.col("coverage").alias("c4_type_coverage")), ["source"])
 
 
+def model_queries(s: SparkSession, d: str) -> DataFrame:
+    """Queries of a stand-in model for each claim and mode: of three claims, one gets a fenced answer with a blank query in it, one an answer that does
+    not parse and is repaired in mode B1 only, one a failed call."""
+    tasks = grounding.tasks_of(ref._claims(s, d))
+    claims = ref._claims(s, d).select("paper_id", "claim_idx", "gold_ingredients", "predicted_ingredients")
+    kind = F.pmod("claim_idx", F.lit(3))
+    good = F.concat(F.lit('```json\n{"queries": [" about '), F.col("mode"), F.lit('", " ", "more"]}\n```'))
+    call = lambda p: p.withColumn("response", F.when(kind == 0, good).when(kind == 1, '{"queries": [').otherwise(None)).withColumn("error", F.when(kind == 2, "timeout").otherwise(None))
+    repair = lambda p: p.withColumn("response", F.when(F.col("mode") == "B1", F.lit('{"queries": ["repaired"]}'))).withColumn("error", F.lit(None).cast("string"))
+    return steps.generated_queries(tasks.join(claims, ["paper_id", "claim_idx"]), call, 5, repair)
+
+
+_MODEL_SQL = rf"""WITH {ref._FUSED_SQL.replace("FROM claims, (SELECT unnest(['B1', 'B3', 'B4']) AS mode) WHERE len(target_ids) > 0", "FROM claims, (SELECT unnest(['B1', 'B3', 'B4']) AS mode)")}, kinds AS (
+  SELECT paper_id, claim_idx, mode, qs, ((claim_idx % 3) + 3) % 3 AS k FROM queried
+), own AS (
+  SELECT paper_id, claim_idx, mode, CASE WHEN k = 0 THEN ['about ' || mode, 'more'] WHEN k = 1 AND mode = 'B1' THEN ['repaired'] ELSE qs END AS qs,
+    CASE WHEN k = 1 AND mode <> 'B1' THEN 'neither answer nor repair parses' WHEN k = 2 THEN 'timeout' END AS error FROM kinds
+)
+SELECT paper_id, claim_idx, mode, i AS query_idx, qs[i] AS query, error FROM (SELECT *, unnest(generate_series(1, len(qs))) AS i FROM own)"""
+
+
 def queries() -> dict[str, Query]:
     every = (
+        model_queries,
         marked_targets, matched_basis, reference_judgments, verified_contexts, verified_summary, confidence_margins, contribution_defaults, refined_clusters, without_source, shown_references, reference_contexts, bounded_search,
         slugs, plain_latex, label_ids, comparison,
     )
@@ -235,7 +257,7 @@ def oracle_sql() -> dict[str, str]:
     types = ref.oracle_sql()["claim_types"]
     rate = "round(count(*) FILTER ({0}) / {1}, 3)"
     return {
-        "marked_targets": _MARKED_SQL, "matched_basis": _MATCHED_SQL, "judged_claims": _JUDGED_SQL, "reference_judgments": _REFERENCES_SQL,
+        "model_queries": _MODEL_SQL, "marked_targets": _MARKED_SQL, "matched_basis": _MATCHED_SQL, "judged_claims": _JUDGED_SQL, "reference_judgments": _REFERENCES_SQL,
         "verified_contexts": f"{_VERIFIED_SQL} SELECT * FROM v",
         "verified_summary": f"""{_VERIFIED_SQL} SELECT paper_id, count(*) AS candidates_considered, count(*) FILTER (label = 'USES') AS candidates_selected, 0 AS confirmed_extends, count(*) FILTER (label = 'USES') AS confirmed_uses,
   CASE WHEN bool_or(label = 'USES') THEN 'USES' ELSE 'NOT_CONFIRMED' END AS final_label FROM v GROUP BY paper_id""",
