@@ -8,24 +8,28 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pathwright.functions.latex import cited_keys
 from pathwright.functions.text import first_given, match_key, normalised_title, plain_words
+from pathwright.session import spread, written
 
 
 def best_paragraphs(contexts: DataFrame, paragraphs: DataFrame, key: Sequence[str] = ("citing_paper_id",), least: float = 0.5) -> DataFrame:
     """(key, context_id, p_idx, overlap): the paragraph of the same citing paper with the greatest share of the context's distinct words, the first
     of equals, if that is `least` or more; overlap at three digits. Contexts without words match none.
 
-    contexts: (key, context_id, text); paragraphs: (key, p_idx, paragraph). A paragraph with a share `least` of a context's n words holds one of its
-    n - ceil(least n) + 1 rarest, so that only these are joined, and what shares one of them is compared as a whole."""
+    contexts: (key, context_id, text); paragraphs: (key, p_idx, paragraph). A paragraph that shares m = ceil(least n) of a context's n words shares k of
+    its n - m + k rarest, whatever k is: with k = m / 2 the commonest words, which most paragraphs hold, are joined by none, and only what shares k of
+    the others is compared as a whole."""
     words = lambda c: F.array_distinct(plain_words(F.col(c)))
     c = contexts.select(*key, "context_id", words("text").alias("_w")).where(F.size("_w") > 0)
-    p = paragraphs.select(*key, "p_idx", words("paragraph").alias("_v"))
+    p = written(spread(paragraphs.select(*key, "p_idx", "paragraph"), *key, "p_idx").select(*key, "p_idx", words("paragraph").alias("_v")))
     postings = p.select(*key, "p_idx", F.explode("_v").alias("_t"))
     df = postings.groupBy("_t").agg(F.count("*").alias("_df"))
     w = Window.partitionBy(*key, "context_id").orderBy(F.coalesce("_df", F.lit(0)), "_t")
     n = F.size("_w")
-    rare = c.select(*key, "context_id", (n - F.greatest(F.lit(1), F.ceil(n * least - 1e-9)) + 1).alias("_m"), F.explode("_w").alias("_t")).join(df, "_t", "left")
+    m = F.greatest(F.lit(1), F.ceil(n * least - 1e-9))
+    k = F.ceil(m / 2)
+    rare = c.select(*key, "context_id", (n - m + k).alias("_m"), k.alias("_k"), F.explode("_w").alias("_t")).join(df, "_t", "left")
     rare = rare.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= F.col("_m")) & F.col("_df").isNotNull())
-    pairs = rare.join(postings, [*key, "_t"]).select(*key, "context_id", "p_idx").distinct()
+    pairs = spread(rare, *key, "context_id").join(postings, [*key, "_t"]).groupBy(*key, "context_id", "p_idx").agg(F.count("*").alias("_c"), F.max("_k").alias("_k")).where("_c >= _k").drop("_c", "_k")
     j = pairs.join(c, [*key, "context_id"]).join(p, [*key, "p_idx"]).select(*key, "context_id", "p_idx", n.alias("_n"), F.size(F.array_intersect("_w", "_v")).alias("_s"))
     best = j.where(F.col("_s") / F.col("_n") >= least).groupBy(*key, "context_id").agg(F.max_by(F.struct("p_idx", "_s", "_n"), F.struct("_s", -F.col("p_idx"))).alias("_b"))
     return best.select(*key, "context_id", "_b.p_idx", F.round(F.col("_b._s") / F.col("_b._n"), 3).alias("overlap"))

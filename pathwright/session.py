@@ -78,6 +78,12 @@ def _clean(spark: SparkSession, app: str) -> None:
         pass
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over all shuffle partitions by the columns, however few bytes it has: for what costs more time than its size tells. Later groupings by
+    these columns and more need no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def rows_at_most(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; reads no more than that."""
     return df.limit(most + 1).count() <= most

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathwright.functions.text import first_given, split_words
-from pathwright.session import written
+from pathwright.session import spread, written
 
 #: What the message of a failure that may pass says.
 TRANSIENT = ("503", "serviceunavailable", "service unavailable", "unavailable", "temporarily", "timeout", "timed out", "rate limit", "ratelimit", "429", "500", "502", "504")
@@ -95,18 +95,18 @@ def search_terms(c: Column) -> Column:
 
 
 def lexical_search(queries: DataFrame, corpus: DataFrame, k: int = 20, key: Sequence[str] = ("paper_id", "claim_idx", "mode", "query_idx")) -> DataFrame:
-    """(key, hit_paper_id, title, year, score, rank): the k titles with the greatest weight of a query's distinct terms, ties by id.
+    """(key, query, hit_paper_id, title, year, score, rank): the k titles with the greatest weight of a query's distinct terms, ties by id.
 
     Every term counts, a common one less: its weight is round(1000 ln(1 + titles / titles with it)), score the matched share of the weights of the
     query's known terms. Queries without a known term have no hits. queries: (key, query); corpus: (hit_paper_id, title, year), ids unique. Equal
     queries are searched once. An index of at most INDEX_POSTINGS postings is broadcast; a larger one is joined, rarest terms first."""
     titles = corpus.select("hit_paper_id", search_terms(F.col("title")).alias("_w")).where("hit_paper_id is not null and size(_w) > 0")
     # equal queries, of modes and claims, are searched once
-    q = queries.select("query").distinct().select("query", search_terms(F.col("query")).alias("_w")).where(F.size("_w") > 0)
+    q = spread(queries.select("query").distinct(), "query").select("query", search_terms(F.col("query")).alias("_w")).where(F.size("_w") > 0)
     small = titles.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0] <= INDEX_POSTINGS
     s = _search_index(q, titles, k) if small else _search_joined(q, titles, k)
     s = s.join(corpus.select("hit_paper_id", "title", "year"), "hit_paper_id")
-    return queries.select(*key, "query").join(s, "query").drop("query")
+    return queries.select(*key, "query").join(s, "query")
 
 
 #: Postings of an index that is broadcast: some 12 bytes each, and the words.
