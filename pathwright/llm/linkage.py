@@ -7,6 +7,8 @@ and gives each pair a posterior confidence.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pathwright.functions.bibliographic import surnames, title_key
 from pathwright.functions.hashing import mixed, seeded
 from pathwright.llm.labelmodel import LabelModel
-from pathwright.session import written
+from pathwright.session import spread, written
 
 #: Bands and rows of the minimum hashes of title words; confidence of a match.
 BANDS, ROWS, CONFIDENT = 44, 6, 0.5
@@ -97,13 +99,24 @@ def _content(title: str) -> Column:
     return F.array_distinct(F.filter(F.split(title, " "), lambda w: ~w.isin(*STOP, *VERSION) & (w != "")))
 
 
-def blocking_keys(papers: DataFrame, key: str) -> DataFrame:
-    """(key, block): bands of title words; the name in the title; the first three telling words."""
-    c = _content("title")
-    p = papers.select(key, "title", "head", c.alias("_c"))
-    p = p.withColumn("_bands", minhash_keys(F.transform("_c", lambda w: F.xxhash64(w))))
-    others = F.array(F.when(F.col("head").isNotNull(), F.xxhash64(F.lit("head"), "head")), F.when(F.size("_c") >= 3, F.xxhash64(F.lit("start"), F.array_join(F.slice("_c", 1, 3), " "))))
-    return p.select(key, F.explode(F.array_distinct(F.concat("_bands", F.filter(others, lambda x: x.isNotNull())))).alias("_block"))
+def band_keys(papers: DataFrame, key: str) -> DataFrame:
+    """(key, keys): one row per paper, the bands of its title words."""
+    return papers.select(key, minhash_keys(F.transform(_content("title"), lambda w: F.xxhash64(w))).alias("_keys"))
+
+
+def wide_blocks(papers: DataFrame, key: str) -> DataFrame:
+    """(key, block, words, authors, cut): the name in the title, and the first three telling words. Many papers that have nothing else in common share
+    these, so the rows hold, as hashes, what a pair is judged by where it forms."""
+    p = papers.select(key, "title", "head", "names", F.col("cut") if "cut" in papers.columns else F.lit(False).alias("cut"), _content("title").alias("_c"))
+    keys = F.array(F.when(F.col("head").isNotNull(), F.xxhash64(F.lit("head"), "head")), F.when(F.size("_c") >= 3, F.xxhash64(F.lit("start"), F.array_join(F.slice("_c", 1, 3), " "))))
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    return p.select(key, hashed(F.col("_c")).alias("_w"), hashed(F.coalesce("names", F.array().cast("array<string>"))).alias("_a"), "cut", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("_block"))
+
+
+def worth(words: Column, words_b: Column, names: Column, names_b: Column, cut: Column) -> Column:
+    """Whether a pair is voted on: by the share of telling words in common, or an author in common, or because a title has few such words."""
+    shared, of_both = F.size(F.array_intersect(words, words_b)), (F.size(words), F.size(words_b))
+    return F.arrays_overlap(names, names_b) | (F.least(*of_both) < 3) | (shared >= SHARED * F.greatest(*of_both)) | cut & (shared >= SHARED_CUT * F.least(*of_both))
 
 
 def author_keys(inputs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -134,12 +147,24 @@ def cut_keys(inputs: DataFrame, targets: DataFrame) -> DataFrame:
     return i.join(t, "_k").select("input_id", "target_paper_id")
 
 
-def candidates(inputs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(input_id, target_paper_id) of the pairs that share a block, or a first author and a rarer word, or, for what is left of a cut title, a first
-    author, a beginning and a year."""
-    i, t = blocking_keys(inputs.where("title is not null"), "input_id"), blocking_keys(targets, "target_paper_id")
-    pairs = i.join(t, "_block").select("input_id", "target_paper_id")
-    return pairs.unionByName(author_keys(inputs, targets)).unionByName(cut_keys(inputs, targets)).distinct()
+def candidates(inputs: DataFrame, targets: DataFrame, bands: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(input_id, target_paper_id) of the pairs that share a band, or one of the wide blocks and are worth a vote, or a first author and a rarer word, or,
+    for what is left of a cut title, a first author, a beginning and a year. They lie by input_id. bands: the band_keys of both sides if they are at hand."""
+    titled = inputs.where("title is not null")
+    i, t = bands or (band_keys(titled, "input_id"), band_keys(targets, "target_paper_id"))
+    pairs = i.select("input_id", F.explode("_keys").alias("_block")).join(t.select("target_paper_id", F.explode("_keys").alias("_block")), "_block").select("input_id", "target_paper_id")
+    a, b = wide_blocks(titled, "input_id"), wide_blocks(targets, "target_paper_id").select("target_paper_id", "_block", F.col("_w").alias("_w_b"), F.col("_a").alias("_a_b"))
+    wide = a.join(b, "_block").where(worth(F.col("_w"), F.col("_w_b"), F.col("_a"), F.col("_a_b"), F.col("cut"))).select("input_id", "target_paper_id")
+    return spread(pairs.unionByName(wide).unionByName(author_keys(inputs, targets)).unionByName(cut_keys(inputs, targets)), "input_id").distinct()
+
+
+def slices(i: DataFrame, t: DataFrame) -> int:
+    """Into how many slices the listed papers go, so that the pairs that equal bands make in one, each as often as it shares a band, are about as many as
+    the rows of the bands: what lies on disk at a time then grows with the papers, however many pairs they make. Counted on an eighth of the bands."""
+    rows = sum(k.agg(F.coalesce(F.sum(F.size("_keys")), F.lit(0))).first()[0] for k in (i, t))
+    some = lambda k, n: k.select(F.explode(F.filter("_keys", lambda x: x.bitwiseAND(7) == 0)).alias("_k")).groupBy("_k").agg(F.count("*").alias(n))
+    pairs = 8 * some(i, "_n").join(some(t, "_m"), "_k").agg(F.coalesce(F.sum(F.col("_n") * F.col("_m")), F.lit(0))).first()[0]
+    return max(1, -(-pairs // max(rows, 1)))
 
 
 _STOP, _VERSION = frozenset(STOP), frozenset(VERSION)
@@ -247,18 +272,25 @@ def never_same(v: np.ndarray) -> np.ndarray:
     return others & ((year == 1) | (title <= 1)) | (title <= 1) & (extra == 2) & (first <= 1)
 
 
-def scored(inputs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(input_id, target_paper_id, confidence, letters) of every candidate pair. Only counts of vote patterns, at most the product of the voters'
-    levels, reach the driver, where the label model is fitted on all of them; posteriors go back as a table of patterns."""
-    i, t = written(inputs), written(targets)
-    pairs = candidates(i, t).join(i, "input_id").join(t.select("target_paper_id", *(F.col(c).alias(f"{c}_b") for c in ("title", "head", "names", "year"))), "target_paper_id")
-    shared = F.size(F.array_intersect(_content("title"), _content("title_b")))
-    of_both = F.size(_content("title")), F.size(_content("title_b"))
-    pairs = pairs.where((shared >= SHARED * F.greatest(*of_both)) | F.col("cut") & (shared >= SHARED_CUT * F.least(*of_both)) | (F.least(*of_both) < 3) | F.arrays_overlap("names", "names_b"))
+def voted(inputs: DataFrame, targets: DataFrame, bands: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(input_id, target_paper_id, the votes, distance) of the candidate pairs whose titles agree in half of their words at least."""
+    pairs = candidates(inputs, targets, bands).join(inputs, "input_id").join(targets.select("target_paper_id", *(F.col(c).alias(f"{c}_b") for c in ("title", "head", "names", "year"))), "target_paper_id")
+    pairs = pairs.where(worth(_content("title"), _content("title_b"), F.col("names"), F.col("names_b"), F.col("cut")))
     long = F.greatest(F.length("title"), F.length("title_b")) > LONG_CHARS
     distance = F.when(F.col("title") == F.col("title_b"), 0).when(long, FAR).otherwise(F.levenshtein("title", "title_b", FAR))
     v = votes("title", "cut", "head", "names", "year", "title_b", "head_b", "names_b", "year_b", distance)
-    pairs = written(pairs.select("input_id", "target_paper_id", v.alias("_v")).select("input_id", "target_paper_id", "_v.*").where("title > 0"))
+    return pairs.select("input_id", "target_paper_id", v.alias("_v")).select("input_id", "target_paper_id", "_v.*").where("title > 0")
+
+
+def scored(inputs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(input_id, target_paper_id, confidence, distance) of every candidate pair. Only counts of vote patterns, at most the product of the voters'
+    levels, reach the driver, where the label model is fitted on all of them; posteriors go back as a table of patterns. The listed papers are taken
+    in slices, and what a slice shuffled is dropped when its votes are written."""
+    i, t = written(inputs), written(targets)
+    bands = written(band_keys(i.where("title is not null"), "input_id")), written(band_keys(t, "target_paper_id"))
+    n = slices(*bands)
+    part = lambda df, k: df if n == 1 else df.where(F.pmod(F.xxhash64("input_id"), F.lit(n)) == k)
+    pairs = reduce(DataFrame.unionByName, [written(voted(part(i, k), t, (part(bands[0], k), bands[1]))) for k in range(n)])
     patterns = pairs.groupBy(*VOTERS).agg(F.count("*").alias("_n")).orderBy(*VOTERS).toPandas()
     spark = inputs.sparkSession
     if not len(patterns):
@@ -275,6 +307,9 @@ def links(inputs: DataFrame, tasks: DataFrame) -> DataFrame:
     A listed paper links to its most confident target; of equals to the one with the nearest title, then the least id. Listed papers and
     targets without a title link to none; missing authors or years leave it to the other votes; repeated rows of an input count once;
     an empty table on either side gives no rows."""
-    s = scored(listed_papers(inputs), target_papers(tasks)).where(F.col("confidence") >= CONFIDENT)
+    # pairs name a target by its place in the order of the ids, which is shorter
+    t = written(target_papers(tasks).orderBy("target_paper_id").withColumn("_t", F.monotonically_increasing_id()))
+    s = scored(listed_papers(inputs), t.drop("target_paper_id").withColumnRenamed("_t", "target_paper_id")).where(F.col("confidence") >= CONFIDENT)
     best = Window.partitionBy("input_id").orderBy(F.desc("confidence"), "distance", "target_paper_id")
-    return s.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("input_id", "target_paper_id", F.round("confidence", 6).alias("confidence"))
+    s = s.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("input_id", F.col("target_paper_id").alias("_t"), F.round("confidence", 6).alias("confidence"))
+    return s.join(t.select("_t", "target_paper_id"), "_t").select("input_id", "target_paper_id", "confidence")

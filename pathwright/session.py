@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -49,14 +51,30 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back.
 
-    The files survive the loss of executors, are columnar, and let later plans know their size."""
+    The files survive the loss of executors, are columnar, and let later plans know their size. What was shuffled for them is dropped at once, not
+    when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pathwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     _remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Whether Spark drops the shuffle files of a query when it has ended.
+DROPPED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(DROPPED, None)
+    spark.conf.set(DROPPED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROPPED) if before is None else spark.conf.set(DROPPED, before)
+
+
 _scratch: dict[str, list[str]] = {}
 
 

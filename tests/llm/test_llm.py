@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pathwright.functions.words import words
 from pathwright.llm import crosssplit, encode, features, labelmodel, leaks, linkage, neardup, residue, splits
+from pathwright.session import written
 
 VOCAB = [f"w{i}" for i in range(400)]
 
@@ -599,6 +602,32 @@ def test_label_model_learns_accuracy_and_dependence():
     assert p[0] > 0.9 and p[1] < 0.1
 
 
+def test_a_common_name_makes_no_candidates_of_its_own(spark, monkeypatch):
+    """Titles that begin with one name, and else say other things, are candidates only where they are worth a vote; in slices the links are the same."""
+    r = random.Random(5)
+    titles = ["tool " + " ".join(f"w{r.randrange(10_000)}" for _ in range(8)) for _ in range(60)]
+    i = spark.createDataFrame([(n, x, False, "tool", [f"a{n}"], 2001) for n, x in enumerate(titles)], "input_id long, title string, cut boolean, head string, names array<string>, year int")
+    t = spark.createDataFrame([(f"{n:03d}", x, "tool", [f"a{n}"], 2001) for n, x in enumerate(titles)], "target_paper_id string, title string, head string, names array<string>, year int")
+    assert sorted((x["input_id"], int(x["target_paper_id"])) for x in linkage.candidates(i, t).collect()) == [(n, n) for n in range(60)]
+    inputs = spark.createDataFrame([(n, x.replace("tool ", "Tool: "), f"A. A{n}", 2001, 1) for n, x in enumerate(titles)], INPUTS)
+    claims = spark.createDataFrame([({f"{n:03d}": x.replace("tool ", "Tool: ") for n, x in enumerate(titles)}, [])], "target_titles map<string,string>, " + CLAIMS[CLAIMS.index("gold_ingredients ") :])
+    whole = sorted(linkage.links(inputs, claims).collect())
+    monkeypatch.setattr(linkage, "slices", lambda i, t: 3)
+    assert sorted(linkage.links(inputs, claims).collect()) == whole and {(x[0], int(x[1])) for x in whole} == {(n, n) for n in range(60)}
+
+
+def test_what_was_shuffled_for_a_written_table_is_dropped(spark):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    size = lambda: sum(os.path.getsize(f) for f in store.getAllFiles().mkString("\n").split("\n") if f.endswith(".data") and f not in before and os.path.exists(f))
+    before = set(store.getAllFiles().mkString("\n").split("\n"))
+    t = written(spark.range(50_000).groupBy(F.xxhash64("id").alias("k")).count())
+    for _ in range(100):
+        if not size():
+            break
+        time.sleep(0.1)
+    assert size() == 0 and t.count() == 50_000
+
+
 # --- very long texts
 
 
