@@ -68,7 +68,12 @@ def valid_scores(items: DataFrame, asked: DataFrame, key: Sequence[str] = CLAIM)
 def rerank(candidates: DataFrame, scores: DataFrame, key: Sequence[str] = CLAIM) -> DataFrame:
     """Candidates by score, then as they were: with llm_score (0 if unscored), missing_llm_score and the new rank."""
     j = candidates.join(scores.select(*key, "cand_paper_id", "llm_score", "llm_grounds", "llm_reason"), [*key, "cand_paper_id"], "left")
-    j = j.withColumn("missing_llm_score", F.col("llm_score").isNull()).withColumn("llm_score", F.coalesce("llm_score", F.lit(0)))
+    return by_score(j, key)
+
+
+def by_score(rows: DataFrame, key: Sequence[str] = CLAIM) -> DataFrame:
+    """Candidates that bear their llm_score, NULL if unscored, ranked by it: as rerank does, without a join."""
+    j = rows.withColumn("missing_llm_score", F.col("llm_score").isNull()).withColumn("llm_score", F.coalesce("llm_score", F.lit(0)))
     w = Window.partitionBy(*key).orderBy(F.desc("llm_score"), F.desc("deterministic_score"), "best_rank", F.coalesce("paper_title", F.lit("")), "rank")
     return j.withColumn("_new", F.row_number().over(w)).drop("rank").withColumnRenamed("_new", "rank")
 

@@ -39,8 +39,8 @@ def queries_of(tasks: DataFrame, n: int = 5) -> DataFrame:
 
 def fused(tasks: DataFrame, search: Callable[[DataFrame], DataFrame], n_queries: int = 5, most: int = 100) -> DataFrame:
     """Ranked candidates of every task. search: (key, query_idx, query) -> hits with hit_paper_id, title, year and rank, and query, or it is joined.
-    Queries are spread by task, so that hits that meet them by a broadcast are fused and ranked where they are."""
-    q = spread(queries_of(tasks, n_queries), "paper_id", "claim_idx", "mode")
+    Queries are spread by claim, so that equal ones of its modes meet, and hits that meet them by a broadcast are fused and ranked where they are."""
+    q = spread(queries_of(tasks, n_queries), "paper_id", "claim_idx")
     hits = search(q)
     hits = hits if "query" in hits.columns else hits.join(q, ["paper_id", "claim_idx", "mode", "query_idx"])
     hits = hits.withColumns({"authors": F.array().cast("array<string>"), "snippet": F.lit("")})

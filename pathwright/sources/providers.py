@@ -98,14 +98,17 @@ def lexical_search(queries: DataFrame, corpus: DataFrame, k: int = 20, key: Sequ
     """(key, query, hit_paper_id, title, year, score, rank): the k titles with the greatest weight of a query's distinct terms, ties by id.
 
     Every term counts, a common one less: its weight is round(1000 ln(1 + titles / titles with it)), score the matched share of the weights of the
-    query's known terms. Queries without a known term have no hits. queries: (key, query); corpus: (hit_paper_id, title, year), ids unique. Equal
-    queries are searched once. An index of at most INDEX_POSTINGS postings is broadcast; a larger one is joined, rarest terms first."""
-    titles = corpus.select("hit_paper_id", search_terms(F.col("title")).alias("_w")).where("hit_paper_id is not null and size(_w) > 0")
+    query's known terms. Queries without a known term have no hits. queries: (key, query); corpus: (hit_paper_id, title, year), ids unique. An index of at most INDEX_POSTINGS postings is broadcast; a larger one is joined, rarest terms first."""
+    titles = corpus.select("hit_paper_id", "title", "year", search_terms(F.col("title")).alias("_w")).where("hit_paper_id is not null and size(_w) > 0")
+    if titles.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0] <= INDEX_POSTINGS:
+        # hits are shuffled as the places of titles, a row per query, and opened where they are fused
+        search, shown = _search_index(titles, k)
+        h = queries.select(*key, "query", search(search_terms(F.col("query"))).alias("_h")).select(*key, "query", *(F.col(f"_h.{c}").alias(f"_{c}") for c in ("at", "weights", "all")))
+        h = spread(h, *key[:2]).select(*key, "query", "_weights", "_all", F.posexplode("_at").alias("_p", "_at")).join(F.broadcast(shown), "_at")
+        return h.select(*key, "query", "hit_paper_id", "title", "year", (F.get("_weights", F.col("_p")) / F.col("_all")).alias("score"), (F.col("_p") + 1).alias("rank"))
     # equal queries, of modes and claims, are searched once
     q = spread(queries.select("query").distinct(), "query").select("query", search_terms(F.col("query")).alias("_w")).where(F.size("_w") > 0)
-    small = titles.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0] <= INDEX_POSTINGS
-    s = _search_index(q, titles, k) if small else _search_joined(q, titles, k)
-    s = s.join(corpus.select("hit_paper_id", "title", "year"), "hit_paper_id")
+    s = _search_joined(q, titles.select("hit_paper_id", "_w"), k).join(corpus.select("hit_paper_id", "title", "year"), "hit_paper_id")
     return queries.select(*key, "query").join(s, "query")
 
 
@@ -113,48 +116,46 @@ def lexical_search(queries: DataFrame, corpus: DataFrame, k: int = 20, key: Sequ
 INDEX_POSTINGS = 4_000_000
 
 
-def _search_index(q: DataFrame, titles: DataFrame, k: int) -> DataFrame:
-    """(query, hit_paper_id, score, rank) by a broadcast of the inverted index."""
+def _search_index(titles: DataFrame, k: int) -> tuple[Callable[[Column], Column], DataFrame]:
+    """A function of a query's terms: struct(at, weights, all), the places of the best titles, their weights and that of the known terms, by a broadcast
+    of the inverted index; and (_at, hit_paper_id, title, year) of all titles. Equal queries of a batch are searched once."""
     rows = titles.orderBy("hit_paper_id").toArrow().combine_chunks()
-    ids, lists = rows.column("hit_paper_id"), rows.column("_w")
-    n = rows.num_rows
-    flat = pa.chunked_array([lists.combine_chunks().flatten()] if n else [pa.array([], pa.string())]).combine_chunks().dictionary_encode()
+    n, one = rows.num_rows, lambda c: pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type)
+    lists = one("_w")
+    flat = lists.flatten().dictionary_encode()
     terms, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-    of = np.repeat(np.arange(n), lists.combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if n else [])
+    of = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
     order = np.argsort(codes, kind="stable")
     starts = np.searchsorted(codes[order], np.arange(len(terms) + 1))
     weights = np.round(1000 * np.log(1 + n / np.maximum(np.diff(starts), 1))).astype(np.int64)
-    table = q.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, starts, of[order].astype(np.int32), weights, n, ids.combine_chunks() if n else pa.array([], ids.type)))
+    table = titles.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, starts, of[order].astype(np.int32), weights, n))
+    shown = titles.sparkSession.createDataFrame(pa.table([pa.array(np.arange(n, dtype=np.int32)), *(one(c) for c in ("hit_paper_id", "title", "year"))], names=["_at", "hit_paper_id", "title", "year"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, starts, docs, weights, n, ids = table.value
+    @F.arrow_udf("struct<at:array<int>,weights:array<long>,all:long>")
+    def search(words: pa.Array) -> pa.Array:
+        at, starts, docs, weights, n = table.value
         score = np.zeros(n, dtype=np.int64)
-        for batch in batches:
-            for part in (batch.slice(j, 2_000) for j in range(0, batch.num_rows, 2_000)):
-                who, hits, scores, ranks = [], [], [], []
-                for i, ws in enumerate(part.column(1).to_pylist()):
-                    known = [at[w] for w in ws if w in at]
-                    if not known:
-                        continue
-                    score[:] = 0
-                    for t in known:
-                        score[docs[starts[t] : starts[t + 1]]] += weights[t]
-                    found = np.flatnonzero(score)
-                    if len(found) > k:
-                        least = np.partition(score[found], len(found) - k)[len(found) - k]
-                        found = found[score[found] >= least]
-                    found = found[np.lexsort((found, -score[found]))][:k]
-                    who.append(np.full(len(found), i))
-                    hits.append(found)
-                    scores.append(score[found] / sum(int(weights[t]) for t in known))
-                    ranks.append(np.arange(1, len(found) + 1, dtype=np.int32))
-                join = lambda x, t: np.concatenate([np.empty(0, t), *x]).astype(t)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(join(who, np.int64))), ids.take(pa.array(join(hits, np.int64))).cast(pa.string()), pa.array(join(scores, np.float64)), pa.array(join(ranks, np.int32))],
-                    names=["query", "hit_paper_id", "score", "rank"],
-                )
-
-    return q.select("query", "_w").mapInArrow(run, "query string, hit_paper_id string, score double, rank int")
+        done: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, int]] = {}
+        each = []
+        for ws in words.to_pylist():
+            known = tuple(sorted(at[w] for w in ws or () if w in at))
+            if known not in done:
+                score[:] = 0
+                for t in known:
+                    score[docs[starts[t] : starts[t + 1]]] += weights[t]
+                found = np.flatnonzero(score)
+                if len(found) > k:
+                    least = np.partition(score[found], len(found) - k)[len(found) - k]
+                    found = found[score[found] >= least]
+                found = found[np.lexsort((found, -score[found]))][:k]
+                done[known] = found, score[found], sum(int(weights[t]) for t in known)
+            each.append(done[known])
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in each])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, t), *(x[c] for x in each)]).astype(t))) for c, t in ((0, np.int32), (1, np.int64))]
+        return pa.StructArray.from_arrays([*lists, pa.array([x[2] for x in each], pa.int64())], names=["at", "weights", "all"])
+
+    # else Spark would search once more, to leave out queries without hits
+    return search.asNondeterministic(), shown
 
 
 def _search_joined(q: DataFrame, titles: DataFrame, k: int) -> DataFrame:

@@ -309,3 +309,18 @@ def test_identity_is_of_the_value(v):
 
 def test_words_agree_with_sql_words(spark):
     assert [r["w"] for r in spark.createDataFrame([("A b",)], "t string").select(plain_words(F.col("t")).alias("w")).collect()] == [["a", "b"]]
+
+
+def test_reranking_shuffles_no_candidates(spark):
+    """Hits cross the network as places of titles, a row per query; candidates are fused, ranked and reranked where these are opened."""
+    from pathwright.plans import grounding
+    from pathwright.sources import providers
+
+    claim = [(f"p{i}", 0, m, f"fast parser of kind {i}", ["a"], [["a"]], [f"neural parser {i}", "slow trees"]) for i in range(20) for m in ("B1", "B3")]
+    tasks = spark.createDataFrame(claim, "paper_id string, claim_idx int, mode string, claim string, target_ids array<string>, target_ingredient_groups array<array<string>>, basis array<string>")
+    corpus = spark.createDataFrame([(f"t{i:02d}", f"neural parser of slow kind {i}", None) for i in range(40)], "hit_paper_id string, title string, year int")
+    got = reference._reranked(tasks, grounding.fused(tasks, lambda q: providers.lexical_search(q, corpus)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and ("mode#" in x or "cand_paper_id" in x or "hit_paper_id" in x)]
+    scores = got.groupBy(*cand.CLAIM).agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.max("llm_score").alias("best")).collect()
+    assert len(scores) == 40 and all(x["n"] == x["last"] >= 20 and x["best"] >= 2 for x in scores)
