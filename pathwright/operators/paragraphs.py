@@ -3,38 +3,71 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pathwright.functions.latex import cited_keys
 from pathwright.functions.text import first_given, match_key, normalised_title, plain_words
-from pathwright.session import spread, written
+from pathwright.session import written
+
+
+#: Words of paragraphs that are searched at once, and of contexts that meet them: what a paper has beyond these goes in blocks.
+BLOCK_WORDS, BLOCK_TEXTS = 2_000_000, 500_000
 
 
 def best_paragraphs(contexts: DataFrame, paragraphs: DataFrame, key: Sequence[str] = ("citing_paper_id",), least: float = 0.5) -> DataFrame:
     """(key, context_id, p_idx, overlap): the paragraph of the same citing paper with the greatest share of the context's distinct words, the first
     of equals, if that is `least` or more; overlap at three digits. Contexts without words match none.
 
-    contexts: (key, context_id, text); paragraphs: (key, p_idx, paragraph). A paragraph that shares m = ceil(least n) of a context's n words shares k of
-    its n - m + k rarest, whatever k is: with k = m / 2 the commonest words, which most paragraphs hold, are joined by none, and only what shares k of
-    the others is compared as a whole."""
-    words = lambda c: F.array_distinct(plain_words(F.col(c)))
-    c = contexts.select(*key, "context_id", words("text").alias("_w")).where(F.size("_w") > 0)
-    p = written(spread(paragraphs.select(*key, "p_idx", "paragraph"), *key, "p_idx").select(*key, "p_idx", words("paragraph").alias("_v")))
-    postings = p.select(*key, "p_idx", F.explode("_v").alias("_t"))
-    df = postings.groupBy("_t").agg(F.count("*").alias("_df"))
-    w = Window.partitionBy(*key, "context_id").orderBy(F.coalesce("_df", F.lit(0)), "_t")
-    n = F.size("_w")
-    m = F.greatest(F.lit(1), F.ceil(n * least - 1e-9))
-    k = F.ceil(m / 2)
-    rare = c.select(*key, "context_id", (n - m + k).alias("_m"), k.alias("_k"), F.explode("_w").alias("_t")).join(df, "_t", "left")
-    rare = rare.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= F.col("_m")) & F.col("_df").isNotNull())
-    pairs = spread(rare, *key, "context_id").join(postings, [*key, "_t"]).groupBy(*key, "context_id", "p_idx").agg(F.count("*").alias("_c"), F.max("_k").alias("_k")).where("_c >= _k").drop("_c", "_k")
-    j = pairs.join(c, [*key, "context_id"]).join(p, [*key, "p_idx"]).select(*key, "context_id", "p_idx", n.alias("_n"), F.size(F.array_intersect("_w", "_v")).alias("_s"))
-    best = j.where(F.col("_s") / F.col("_n") >= least).groupBy(*key, "context_id").agg(F.max_by(F.struct("p_idx", "_s", "_n"), F.struct("_s", -F.col("p_idx"))).alias("_b"))
+    contexts: (key, context_id, text); paragraphs: (key, p_idx, paragraph). A paper's contexts and paragraphs meet in blocks, as hashes of their words,
+    and are counted there by an inverted index: texts and pairs are never shuffled, only the best of a context in each block."""
+    words = lambda c: F.transform(F.array_distinct(plain_words(F.col(c))), lambda w: F.xxhash64(w))
+    c = contexts.select(*key, F.col("context_id").alias("_id"), words("text").alias("_w")).where(F.size("_w") > 0)
+    p = paragraphs.select(*key, F.col("p_idx").alias("_id"), words("paragraph").alias("_w")).where(F.size("_w") > 0)
+    c, p = written(c), written(p.join(c.select(*key).distinct(), list(key), "left_semi"))
+    blocks = lambda df, most, name: df.groupBy(*key).agg(F.ceil(F.sum(F.size("_w")) / most).cast("int").alias(name))
+    n = blocks(c, BLOCK_TEXTS, "_nc").join(blocks(p, BLOCK_WORDS, "_np"), list(key))
+    own = lambda name: F.pmod(F.xxhash64("_id"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    c, p = c.join(n, list(key)).select(*key, own("_nc").alias("_bc"), every("_np").alias("_bp"), "_id", "_w"), p.join(n, list(key)).select(*key, every("_nc").alias("_bc"), own("_np").alias("_bp"), "_id", "_w")
+    kinds = {f.name: f.dataType.simpleString() for f in (*contexts.schema, *paragraphs.schema)}
+    by = [*key, "_bc", "_bp"]
+    j = c.groupBy(*by).cogroup(p.groupBy(*by)).applyInArrow(partial(_best_of_block, key=tuple(key), least=least), ", ".join([*(f"`{k}` {kinds[k]}" for k in key), f"context_id {kinds['context_id']}, p_idx {kinds['p_idx']}, _s int, _n int"]))
+    best = j.groupBy(*key, "context_id").agg(F.max_by(F.struct("p_idx", "_s", "_n"), F.struct("_s", -F.col("p_idx"))).alias("_b"))
     return best.select(*key, "context_id", "_b.p_idx", F.round(F.col("_b._s") / F.col("_b._n"), 3).alias("overlap"))
 
 
+def _best_of_block(contexts: pa.Table, paragraphs: pa.Table, key: tuple[str, ...], least: float) -> pa.Table:
+    """(key, context_id, p_idx, _s, _n): the best paragraph of each context of a block, the first of equals, with the shared words and the context's."""
+    flat = lambda t: t.column("_w").combine_chunks().flatten().to_numpy(zero_copy_only=False) if t.num_rows else np.empty(0, np.int64)
+    lengths = lambda t: np.asarray(t.column("_w").combine_chunks().value_lengths()) if t.num_rows else np.empty(0, np.int64)
+    paragraphs = paragraphs.sort_by("_id")
+    np_, of = paragraphs.num_rows, np.repeat(np.arange(paragraphs.num_rows, dtype=np.int32), lengths(paragraphs))
+    v = flat(paragraphs)
+    order = np.argsort(v, kind="stable")
+    v, docs = v[order], of[order]
+    w, n = flat(contexts), lengths(contexts)
+    low, high = np.searchsorted(v, w, "left"), np.searchsorted(v, w, "right")
+    ends = np.concatenate([[0], np.cumsum(n)])
+    who, where, shared = [], [], []
+    for i in range(contexts.num_rows if np_ else 0):
+        hits = [docs[low[x] : high[x]] for x in range(ends[i], ends[i + 1]) if high[x] > low[x]]
+        if not hits or len(hits) / n[i] < least:
+            continue
+        count = np.bincount(np.concatenate(hits), minlength=np_)
+        best = int(count.argmax())
+        if count[best] / n[i] >= least:
+            who.append(i)
+            where.append(best)
+            shared.append(int(count[best]))
+    at = pa.array(who, pa.int64())
+    c = contexts.take(at)
+    return pa.table([*(c.column(k) for k in key), c.column("_id"), paragraphs.column("_id").take(pa.array(where, pa.int64())), pa.array(shared, pa.int32()), pa.array(n[who].astype(np.int32) if who else [], pa.int32())], names=[*key, "context_id", "p_idx", "_s", "_n"])
+
+
 def confirmed_contexts(contexts: DataFrame, confirmed: DataFrame, key: Sequence[str] = ("paper_id", "citing_paper_id")) -> DataFrame:
     """(key, text): of each citing paper, its first context per match key whose key is among the confirmed texts'; the confirmed texts themselves
     where none survives. contexts: (key, id, text); confirmed: (key, text). Papers without confirmed texts give no rows."""

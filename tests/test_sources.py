@@ -265,3 +265,19 @@ def test_best_paragraphs_against_all_pairs(spark):
                 want[i] = (-max(scored)[1], round(max(scored)[0], 3))
         got = best_paragraphs(spark.createDataFrame(c, "citing_paper_id string, context_id int, text string"), spark.createDataFrame(p, "citing_paper_id string, p_idx int, paragraph string"), least=least)
         assert {x["context_id"]: (x["p_idx"], x["overlap"]) for x in got.collect()} == want
+
+
+def test_best_paragraphs_in_blocks(spark, monkeypatch):
+    """A paper in many blocks gives what it gives in one; pairs of contexts and paragraphs are not shuffled, only the best of a block."""
+    from pathwright.operators import paragraphs as par
+
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(12)}" for _ in range(r.randrange(1, 9)))
+    c = spark.createDataFrame([("a", i, text()) for i in range(40)] + [("b", 99, "w1 w2")], "citing_paper_id string, context_id int, text string")
+    p = spark.createDataFrame([("a", i, text()) for i in range(60)], "citing_paper_id string, p_idx int, paragraph string")
+    whole = sorted(par.best_paragraphs(c, p).collect())
+    monkeypatch.setattr(par, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(par, "BLOCK_TEXTS", 30)
+    got = par.best_paragraphs(c, p)
+    assert sorted(got.collect()) == whole and len(whole) > 30
+    assert "_t#" not in got._jdf.queryExecution().executedPlan().toString()
