@@ -11,6 +11,11 @@ from pathwright.functions.jsonx import clamped_score
 CLAIM = ("paper_id", "claim_idx", "mode")
 
 
+def hit_score(frequency: Column, best_rank: Column) -> Column:
+    """Hits + 1 / best rank."""
+    return F.round(frequency + F.lit(1.0) / F.greatest(F.lit(1), best_rank), 6)
+
+
 def fuse(hits: DataFrame, key: Sequence[str] = CLAIM, most: int = 100) -> DataFrame:
     """The distinct papers among a claim's hits: (key, cand_paper_id, paper_title, year, authors, snippet, best_rank, frequency,
     retrieved_by, deterministic_score, rank), the best `most` of each claim.
@@ -27,11 +32,10 @@ def fuse(hits: DataFrame, key: Sequence[str] = CLAIM, most: int = 100) -> DataFr
         F.min(at).alias("_at"),
         F.array_sort(F.collect_list(F.struct("query_idx", "rank", "query"))).alias("_by"),
     )
-    score = F.round(F.col("frequency") + F.lit(1.0) / F.greatest(F.lit(1), F.col("best_rank")), 6)
     g = g.select(
         *key, "cand_paper_id", F.col("_first.title").alias("paper_title"), "_first.year", "_first.authors", "_first.snippet", "best_rank", "frequency",
         F.transform("_by", lambda x: F.struct(x["query_idx"].alias("query_idx"), x["query"].alias("query"), x["rank"].alias("rank"))).alias("retrieved_by"),
-        score.alias("deterministic_score"), "_at",
+        hit_score(F.col("frequency"), F.col("best_rank")).alias("deterministic_score"), "_at",
     )
     order = Window.partitionBy(*key).orderBy(F.desc("deterministic_score"), "best_rank", F.coalesce("paper_title", F.lit("")), "_at", "cand_paper_id")
     return g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("_at")

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathwright.functions.text import first_given, split_words
@@ -99,63 +101,180 @@ def lexical_search(queries: DataFrame, corpus: DataFrame, k: int = 20, key: Sequ
 
     Every term counts, a common one less: its weight is round(1000 ln(1 + titles / titles with it)), score the matched share of the weights of the
     query's known terms. Queries without a known term have no hits. queries: (key, query); corpus: (hit_paper_id, title, year), ids unique. An index of at most INDEX_POSTINGS postings is broadcast; a larger one is joined, rarest terms first."""
-    titles = corpus.select("hit_paper_id", "title", "year", search_terms(F.col("title")).alias("_w")).where("hit_paper_id is not null and size(_w) > 0")
-    if titles.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0] <= INDEX_POSTINGS:
+    if (found := lexical_index(corpus)) is not None:
         # hits are shuffled as the places of titles, a row per query, and opened where they are fused
-        search, shown = _search_index(titles, k)
-        h = queries.select(*key, "query", search(search_terms(F.col("query"))).alias("_h")).select(*key, "query", *(F.col(f"_h.{c}").alias(f"_{c}") for c in ("at", "weights", "all")))
-        h = spread(h, *key[:2]).select(*key, "query", "_weights", "_all", F.posexplode("_at").alias("_p", "_at")).join(F.broadcast(shown), "_at")
+        h = queries.select(*key, "query", _search(found[0], k)(search_terms(F.col("query"))).alias("_h")).select(*key, "query", *(F.col(f"_h.{c}").alias(f"_{c}") for c in ("at", "weights", "all")))
+        h = spread(h, *key[:2]).select(*key, "query", "_weights", "_all", F.posexplode("_at").alias("_p", "place")).join(F.broadcast(found[1]), "place")
         return h.select(*key, "query", "hit_paper_id", "title", "year", (F.get("_weights", F.col("_p")) / F.col("_all")).alias("score"), (F.col("_p") + 1).alias("rank"))
     # equal queries, of modes and claims, are searched once
+    titles = _searchable(corpus).select("hit_paper_id", "_w")
     q = spread(queries.select("query").distinct(), "query").select("query", search_terms(F.col("query")).alias("_w")).where(F.size("_w") > 0)
-    s = _search_joined(q, titles.select("hit_paper_id", "_w"), k).join(corpus.select("hit_paper_id", "title", "year"), "hit_paper_id")
+    s = _search_joined(q, titles, k).join(corpus.select("hit_paper_id", "title", "year"), "hit_paper_id")
     return queries.select(*key, "query").join(s, "query")
 
 
+def _searchable(corpus: DataFrame) -> DataFrame:
+    return corpus.withColumn("_w", search_terms(F.col("title"))).where("hit_paper_id is not null and size(_w) > 0")
+
+
 #: Postings of an index that is broadcast: some 12 bytes each, and the words.
 INDEX_POSTINGS = 4_000_000
+#: A term in more than one of so many titles is also kept as a mark on each title, a byte.
+MARKED = 16
 
 
-def _search_index(titles: DataFrame, k: int) -> tuple[Callable[[Column], Column], DataFrame]:
-    """A function of a query's terms: struct(at, weights, all), the places of the best titles, their weights and that of the known terms, by a broadcast
-    of the inverted index; and (_at, hit_paper_id, title, year) of all titles. Equal queries of a batch are searched once."""
+@dataclass(frozen=True)
+class Index:
+    """An inverted index of titles, its terms from the rarest to the commonest: the places of a term's titles are docs[starts[t]:starts[t + 1]], ascending.
+    marks: for the terms from the first common one, a flag for each title. order, named: of each title, its place among the titles in order, the same
+    for equal ones, and whether its id says something."""
+
+    terms: pa.Array
+    starts: np.ndarray
+    docs: np.ndarray
+    weights: np.ndarray
+    marks: np.ndarray
+    order: np.ndarray
+    named: np.ndarray
+
+    def search(self, words: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For lists of distinct words: the number of each one's answer; and where the answers start, their places and weights, and the weight of all
+        known terms of each. Equal queries are searched once."""
+        codes = pc.fill_null(pc.index_in(words.flatten(), value_set=self.terms), -1).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(words)), pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))
+        codes, of = codes[codes >= 0], of[codes >= 0]
+        codes, bounds = codes[np.lexsort((codes, of))], np.searchsorted(of, np.arange(len(words) + 1)).tolist()
+        score, done, asked = np.zeros(len(self.order), dtype=np.int64), {}, []
+        each: list[tuple[np.ndarray, np.ndarray, int]] = []
+        for a, b in zip(bounds, bounds[1:]):
+            known = codes[a:b]
+            if (name := known.tobytes()) not in done:
+                done[name] = len(each)
+                each.append(self.best(known, k, score))
+            asked.append(done[name])
+        starts = np.concatenate([[0], np.cumsum([len(x[0]) for x in each])]).astype(np.int64)
+        places, weights = (np.concatenate([np.empty(0, t), *(x[c] for x in each)]).astype(t) for c, t in ((0, np.int32), (1, np.int64)))
+        return np.array(asked, np.int64), starts, places, weights, np.array([x[2] for x in each], np.int64)
+
+    def candidates(self, words: pa.Array, k: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For lists of queries, each a list of distinct words: where each one's candidates start, their places, best ranks and numbers of hits, in the
+        order of candidates.fuse, `most` at most."""
+        n, m, lengths = len(self.order), len(words), pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        asked, starts, places, _, _ = self.search(words.flatten(), k)
+        # the hits of every list in the order of its queries and of their ranks
+        size, begin = np.diff(starts)[asked], starts[:-1][asked]
+        rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at, of = places[np.repeat(begin, size) + rank], np.repeat(np.repeat(np.arange(m), lengths), size)
+        at, of, rank = (x[self.named[at]] for x in (at, of, rank + 1))
+        # a list's hits of one paper come together, the first of them first
+        together = np.argsort(of * n + at, kind="stable")
+        at, of, rank = at[together], of[together], rank[together]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))
+        best = np.minimum.reduceat(rank, first) if len(first) else rank
+        hits = np.diff(first, append=len(at))
+        at, of, seen = at[first], of[first], together[first]
+        by = np.lexsort((seen, self.order[at], best, -(hits * 1_000_000 + (2_000_000 + best) // (2 * best)), of))
+        at, of, best, hits = at[by], of[by], best[by], hits[by]
+        kept = np.arange(len(of)) - np.searchsorted(of, of) < most
+        return np.searchsorted(of[kept], np.arange(m + 1)), at[kept], best[kept], hits[kept]
+
+    def holds(self, t: int, places: np.ndarray) -> np.ndarray:
+        """Which of the places have the term."""
+        common = t - (len(self.weights) - len(self.marks))
+        if common >= 0:
+            return self.marks[common][places]
+        d = self.docs[self.starts[t] : self.starts[t + 1]]
+        return d[np.minimum(d.searchsorted(places), len(d) - 1)] == places
+
+    def best(self, known: np.ndarray, k: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, weights, weight of all terms) of the k best titles for ascending terms, exactly, ties by place. score: zeros, one a title, left so.
+
+        Titles of the rarest terms are weighed, until the k-th of them outweighs all the terms left together: a title with none but those cannot come
+        among the best. Of the titles weighed, those that can still reach the k-th are weighed by the terms left, fewer after each."""
+        ws = self.weights[known].tolist()
+        total = rest = sum(ws)
+        met, i, places, found = [], 0, np.empty(0, np.int32), np.empty(0, score.dtype)
+        for i, (t, w) in enumerate(zip(known.tolist(), ws, strict=True), 1):
+            d = self.docs[self.starts[t] : self.starts[t + 1]]
+            s = score[d]
+            met.append(d[s == 0])
+            score[d] = s + w
+            rest -= w
+            if rest < total - rest or not rest:
+                places = np.concatenate(met)
+                found = score[places]
+                if len(found) >= k and rest < _kth(found, k):
+                    break
+        score[places] = 0
+        for t, w in zip(known[i:].tolist(), ws[i:], strict=True):
+            keep = found >= _kth(found, k) - rest
+            places, found = places[keep], found[keep]
+            found = found + self.holds(t, places) * score.dtype.type(w)
+            rest -= w
+        if len(found) > k:
+            keep = found >= _kth(found, k)
+            places, found = places[keep], found[keep]
+        order = np.lexsort((places, -found))[:k]
+        return places[order], found[order], total
+
+
+def _kth(x: np.ndarray, k: int) -> int:
+    """The k-th greatest of x, which has as many."""
+    return int(np.partition(x, len(x) - k)[len(x) - k])
+
+
+def lexical_index(corpus: DataFrame) -> tuple[Broadcast[Index], DataFrame] | None:
+    """The index of the corpus, broadcast, and its titles with their place in it, by id, to be broadcast too: (place, hit_paper_id, title, year and what
+    else the corpus has). None beyond INDEX_POSTINGS. corpus: (hit_paper_id, title, year, ...), ids unique."""
+    titles = _searchable(corpus)
+    if titles.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0] > INDEX_POSTINGS:
+        return None
     rows = titles.orderBy("hit_paper_id").toArrow().combine_chunks()
     n, one = rows.num_rows, lambda c: pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], rows.schema.field(c).type)
     lists = one("_w")
     flat = lists.flatten().dictionary_encode()
-    terms, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-    of = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
-    order = np.argsort(codes, kind="stable")
-    starts = np.searchsorted(codes[order], np.arange(len(terms) + 1))
-    weights = np.round(1000 * np.log(1 + n / np.maximum(np.diff(starts), 1))).astype(np.int64)
-    table = titles.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, starts, of[order].astype(np.int32), weights, n))
-    shown = titles.sparkSession.createDataFrame(pa.table([pa.array(np.arange(n, dtype=np.int32)), *(one(c) for c in ("hit_paper_id", "title", "year"))], names=["_at", "hit_paper_id", "title", "year"]))
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    counts = np.bincount(codes, minlength=len(flat.dictionary))
+    rarest = np.argsort(counts, kind="stable")
+    codes, counts = np.argsort(rarest, kind="stable")[codes], counts[rarest]
+    starts, docs = np.concatenate([[0], np.cumsum(counts)]), of[np.argsort(codes, kind="stable")]
+    common = int(np.searchsorted(counts, n / MARKED, side="right"))
+    marks = np.zeros((len(counts) - common, n), dtype=bool)
+    marks[codes[codes >= common] - common, of[codes >= common]] = True
+    weights = np.round(1000 * np.log(1 + n / np.maximum(counts, 1))).astype(np.int64)
+    order = pc.rank(one("title"), tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int32)
+    named = pc.not_equal(one("hit_paper_id"), "").to_numpy(zero_copy_only=False)
+    index = Index(flat.dictionary.take(pa.array(rarest)), starts, docs, weights, marks, order, named)
+    shown = pa.table([pa.array(np.arange(n, dtype=np.int32)), *(one(c) for c in corpus.columns)], names=["place", *corpus.columns])
+    return titles.sparkSession.sparkContext.broadcast(index), titles.sparkSession.createDataFrame(shown)
+
+
+def _search(table: Broadcast[Index], k: int) -> Callable[[Column], Column]:
+    """A function of a query's terms: struct(at, weights, all), the places of the best titles, their weights and that of the known terms."""
 
     @F.arrow_udf("struct<at:array<int>,weights:array<long>,all:long>")
     def search(words: pa.Array) -> pa.Array:
-        at, starts, docs, weights, n = table.value
-        score = np.zeros(n, dtype=np.int64)
-        done: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, int]] = {}
-        each = []
-        for ws in words.to_pylist():
-            known = tuple(sorted(at[w] for w in ws or () if w in at))
-            if known not in done:
-                score[:] = 0
-                for t in known:
-                    score[docs[starts[t] : starts[t + 1]]] += weights[t]
-                found = np.flatnonzero(score)
-                if len(found) > k:
-                    least = np.partition(score[found], len(found) - k)[len(found) - k]
-                    found = found[score[found] >= least]
-                found = found[np.lexsort((found, -score[found]))][:k]
-                done[known] = found, score[found], sum(int(weights[t]) for t in known)
-            each.append(done[known])
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in each])]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, t), *(x[c] for x in each)]).astype(t))) for c, t in ((0, np.int32), (1, np.int64))]
-        return pa.StructArray.from_arrays([*lists, pa.array([x[2] for x in each], pa.int64())], names=["at", "weights", "all"])
+        asked, starts, places, weights, totals = table.value.search(words, k)
+        ends = pa.array(starts.astype(np.int32))
+        each = pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(places)), pa.ListArray.from_arrays(ends, pa.array(weights)), pa.array(totals)], names=["at", "weights", "all"])
+        return each.take(pa.array(asked))
 
     # else Spark would search once more, to leave out queries without hits
-    return search.asNondeterministic(), shown
+    return search.asNondeterministic()
+
+
+def fused_search(table: Broadcast[Index], k: int, most: int) -> Callable[[Column], Column]:
+    """A function of a claim's queries as lists of their terms: struct(at, best, hits), the places of the `most` best candidates as candidates.fuse
+    ranks the hits, their best ranks and numbers of hits. Hits are counted and ranked as arrays of numbers, the claims of a batch at once."""
+
+    @F.arrow_udf("struct<at:array<int>,best:array<int>,hits:array<int>>")
+    def search(words: pa.Array) -> pa.Array:
+        starts, *parts = table.value.candidates(words, k, most)
+        ends = pa.array(starts.astype(np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in parts], names=["at", "best", "hits"])
+
+    return search.asNondeterministic()
 
 
 def _search_joined(q: DataFrame, titles: DataFrame, k: int) -> DataFrame:

@@ -324,3 +324,31 @@ def test_reranking_shuffles_no_candidates(spark):
     assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and ("mode#" in x or "cand_paper_id" in x or "hit_paper_id" in x)]
     scores = got.groupBy(*cand.CLAIM).agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.max("llm_score").alias("best")).collect()
     assert len(scores) == 40 and all(x["n"] == x["last"] >= 20 and x["best"] >= 2 for x in scores)
+
+
+def test_ranked_is_fused_search(spark):
+    """Hits fused as they are found, as arrays of numbers, are those fused from a table of hits: with equal titles, an id that says nothing, and a cut."""
+    from pathwright.plans import grounding
+    from pathwright.sources import providers
+
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{int(r.paretovariate(0.7)) % 40}" for _ in range(n))
+    claims = [(f"p{i % 17}", i, m, text(9), [text(r.randrange(7)) if r.random() < 0.9 else None for _ in range(r.randrange(6))] if m == "B3" else None) for i in range(40) for m in ("B1", "B3")]
+    tasks = spark.createDataFrame([*claims, ("q", 0, "B1", "unknown", None), ("q", 1, "B1", None, None)], "paper_id string, claim_idx int, mode string, claim string, basis array<string>")
+    titles = [(f"t{i % 90:02d}" if i else "", text(5) if i % 4 else "w1 w2 W3", 2000 + i % 3) for i in range(90)]
+    corpus = spark.createDataFrame(titles, "hit_paper_id string, title string, year int")
+    names = (*cand.CLAIM, "cand_paper_id", "paper_title", "year", "best_rank", "frequency", "deterministic_score", "rank")
+    for k, most in ((6, 100), (20, 7)):
+        want = rows(grounding.fused(tasks, lambda q, k=k: providers.lexical_search(q, corpus, k), most=most), *names)
+        assert rows(grounding.ranked(tasks, corpus, k=k, most=most), *names) == want and len(want) > 400
+    old, providers.INDEX_POSTINGS = providers.INDEX_POSTINGS, 0
+    try:
+        assert rows(grounding.ranked(tasks, corpus, k=k, most=most), *names) == want
+    finally:
+        providers.INDEX_POSTINGS = old
+
+
+def test_reranking_splits_titles_once(spark):
+    """The words of a title are split once, not for every candidate, and those it shares with the claim are looked for once a candidate."""
+    plan = reference.queries()["llm_rerank_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1 and plan.count("[^a-z0-9") == 1

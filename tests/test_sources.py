@@ -5,9 +5,11 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import math
 import random
 import tarfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +283,20 @@ def test_best_paragraphs_in_blocks(spark, monkeypatch):
     got = par.best_paragraphs(c, p)
     assert sorted(got.collect()) == whole and len(whole) > 30
     assert "_t#" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_finds_the_best_of_many(spark):
+    """Titles of common terms alone are left out where they cannot come among the best, and no others."""
+    r = random.Random(6)
+    titles = [(f"t{i:04d}", " ".join(["a", "for"][: r.randrange(3)] + [f"w{int(r.paretovariate(0.5)) % 500}" for _ in range(6)]), None) for i in range(3000)]
+    found = providers.lexical_index(spark.createDataFrame(titles, "hit_paper_id string, title string, year int"))
+    index = found[0].value
+    queries = [[*{"a", "for", "unknown", *(f"w{int(r.paretovariate(0.5)) % 500}" for _ in range(r.randrange(7)))}] for _ in range(200)]
+    asked, starts, places, weights, totals = index.search(pa.array([*queries, None, [], ["unknown"]]), 20)
+    of = [set(t.split()) for _, t, _ in titles]
+    df = {t: sum(t in w for w in of) for t in {t for w in of for t in w}}
+    x = {t: round(1000 * math.log(1 + 3000 / n)) for t, n in df.items()}
+    for i, q in enumerate([*queries, [], [], []]):
+        scores = sorted((-sum(x[t] for t in q if t in w), p) for p, w in enumerate(of) if any(t in w for t in q))[:20]
+        u = asked[i]
+        assert [(-int(w), int(p)) for p, w in zip(places[starts[u] : starts[u + 1]], weights[starts[u] : starts[u + 1]])] == scores and totals[u] == sum(x.get(t, 0) for t in q)
