@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pathwright.functions.text import fallback_queries
 from pathwright.operators import candidates as cand, metrics, progress
@@ -48,19 +48,21 @@ def fused(tasks: DataFrame, search: Callable[[DataFrame], DataFrame], n_queries:
     return cand.fuse(hits, most=most)
 
 
-def ranked(tasks: DataFrame, corpus: DataFrame, n_queries: int = 5, k: int = 20, most: int = 100) -> DataFrame:
-    """(paper_id, claim_idx, mode, cand_paper_id, paper_title, year, best_rank, frequency, deterministic_score, rank): the candidates of every task that
-    fused gives with lexical_search over the corpus, without the list of a paper's hits. Where the index is broadcast, hits are fused as they are found,
-    what is shuffled is a row per task, and further columns of the corpus come along."""
+def ranked(tasks: DataFrame, corpus: DataFrame, n_queries: int = 5, k: int = 20, most: int = 100, more: dict[str, Column] | None = None) -> DataFrame:
+    """(paper_id, claim_idx, mode, more columns made of `claim`, cand_paper_id, paper_title, year, best_rank, frequency, deterministic_score, rank): the
+    candidates of every task that fused gives with lexical_search over the corpus, without the list of a paper's hits. Where the index is broadcast, hits
+    are fused as they are found, what is shuffled is a row per task, and further columns of the corpus come along."""
     found = providers.lexical_index(corpus)
-    names = ("best_rank", "frequency", "deterministic_score", "rank")
     if found is None:
-        return fused(tasks, lambda q: providers.lexical_search(q, corpus, k), n_queries, most).select(*cand.CLAIM, "cand_paper_id", "paper_title", "year", *names)
-    t = spread(tasks.select(*cand.CLAIM, fallback_queries(F.col("claim"), F.col("basis"), n_queries).alias("_q")), "paper_id", "claim_idx")
-    h = t.select(*cand.CLAIM, providers.fused_search(found[0], k, most)(F.transform("_q", providers.search_terms)).alias("_h"))
-    h = spread(h.select(*cand.CLAIM, *(F.col(f"_h.{c}").alias(f"_{c}") for c in ("at", "best", "hits"))), "paper_id", "claim_idx")
-    h = h.select(*cand.CLAIM, F.posexplode("_at").alias("_p", "place"), "_best", "_hits")
-    h = h.select(*cand.CLAIM, "place", F.get("_best", F.col("_p")).alias("best_rank"), F.get("_hits", F.col("_p")).alias("frequency"), (F.col("_p") + 1).alias("rank"))
+        f = fused(tasks, lambda q: providers.lexical_search(q, corpus, k), n_queries, most).select(*cand.CLAIM, "cand_paper_id", "paper_title", "year", "best_rank", "frequency", "deterministic_score", "rank")
+        return f.join(tasks.select(*cand.CLAIM, *(c.alias(n) for n, c in more.items())), [*cand.CLAIM]) if more else f
+    key = (*cand.CLAIM, "claim")
+    t = spread(tasks.select(*key, fallback_queries(F.col("claim"), F.col("basis"), n_queries).alias("_q")), "paper_id", "claim_idx")
+    h = t.select(*key, providers.fused_search(found[0], k, most)(F.transform("_q", providers.search_terms)).alias("_h"))
+    h = spread(h.select(*key, *(F.col(f"_h.{c}").alias(f"_{c}") for c in ("at", "best", "hits"))), "paper_id", "claim_idx")
+    h = h.select(*cand.CLAIM, "_at", "_best", "_hits", *(c.alias(n) for n, c in (more or {}).items()))  # once a task
+    h = h.select("*", F.posexplode("_at").alias("_p", "place"))
+    h = h.select(*cand.CLAIM, *(more or ()), "place", F.get("_best", F.col("_p")).alias("best_rank"), F.get("_hits", F.col("_p")).alias("frequency"), (F.col("_p") + 1).alias("rank"))
     h = h.join(F.broadcast(found[1].withColumnsRenamed({"hit_paper_id": "cand_paper_id", "title": "paper_title"})), "place").drop("place")
     return h.withColumn("deterministic_score", cand.hit_score(F.col("frequency"), F.col("best_rank")))
 

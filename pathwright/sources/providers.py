@@ -119,8 +119,8 @@ def _searchable(corpus: DataFrame) -> DataFrame:
 
 #: Postings of an index that is broadcast: some 12 bytes each, and the words.
 INDEX_POSTINGS = 4_000_000
-#: A term in more than one of so many titles is also kept as a mark on each title, a byte.
-MARKED = 16
+#: A term in more than one of so many titles is also kept as a mark on each title, a byte; of so many bytes at most, the commonest terms.
+MARKED, MARKS = 64, 64_000_000
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,8 @@ class Index:
         of = np.repeat(np.arange(len(words)), pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False))
         codes, of = codes[codes >= 0], of[codes >= 0]
         codes, bounds = codes[np.lexsort((codes, of))], np.searchsorted(of, np.arange(len(words) + 1)).tolist()
-        score, done, asked = np.zeros(len(self.order), dtype=np.int64), {}, []
+        # half the width where no weight can exceed it
+        score, done, asked = np.zeros(len(self.order), np.int32 if self.weights.sum() < 2**31 else np.int64), {}, []
         each: list[tuple[np.ndarray, np.ndarray, int]] = []
         for a, b in zip(bounds, bounds[1:]):
             known = codes[a:b]
@@ -191,26 +192,33 @@ class Index:
 
         Titles of the rarest terms are weighed, until the k-th of them outweighs all the terms left together: a title with none but those cannot come
         among the best. Of the titles weighed, those that can still reach the k-th are weighed by the terms left, fewer after each."""
-        ws = self.weights[known].tolist()
+        ws, begins, ends = self.weights[known].tolist(), self.starts[known].tolist(), self.starts[known + 1].tolist()
         total = rest = sum(ws)
-        met, i, places, found = [], 0, np.empty(0, np.int32), np.empty(0, score.dtype)
-        for i, (t, w) in enumerate(zip(known.tolist(), ws, strict=True), 1):
-            d = self.docs[self.starts[t] : self.starts[t + 1]]
+        # the k-th weighs no more than this
+        met, n, i, least, bound, places, found = [], 0, 0, 0, 0, np.empty(0, np.int32), np.empty(0, score.dtype)
+        for i, w in enumerate(ws, 1):
+            d = self.docs[begins[i - 1] : ends[i - 1]]
             s = score[d]
-            met.append(d[s == 0])
-            score[d] = s + w
+            score[d] = s + score.dtype.type(w)
+            met.append(d[s == 0] if met else d)
+            n += len(met[-1])
             rest -= w
-            if rest < total - rest or not rest:
+            bound += w
+            if not rest or n >= k and rest < bound:
                 places = np.concatenate(met)
                 found = score[places]
-                if len(found) >= k and rest < _kth(found, k):
-                    break
+                if rest:
+                    bound = least = _kth(found, k)
+                    if rest < least:
+                        break
         score[places] = 0
-        for t, w in zip(known[i:].tolist(), ws[i:], strict=True):
-            keep = found >= _kth(found, k) - rest
+        for i in range(i, len(ws)):
+            keep = found >= least - rest
             places, found = places[keep], found[keep]
-            found = found + self.holds(t, places) * score.dtype.type(w)
-            rest -= w
+            found = found + self.holds(int(known[i]), places) * score.dtype.type(ws[i])
+            rest -= ws[i]
+            if rest and len(found) > 4 * k:
+                least = _kth(found, k)
         if len(found) > k:
             keep = found >= _kth(found, k)
             places, found = places[keep], found[keep]
@@ -220,7 +228,10 @@ class Index:
 
 def _kth(x: np.ndarray, k: int) -> int:
     """The k-th greatest of x, which has as many."""
-    return int(np.partition(x, len(x) - k)[len(x) - k])
+    x = x.copy()
+    x.partition(len(x) - k)
+    return int(x[len(x) - k])
+
 
 
 def lexical_index(corpus: DataFrame) -> tuple[Broadcast[Index], DataFrame] | None:
@@ -239,7 +250,7 @@ def lexical_index(corpus: DataFrame) -> tuple[Broadcast[Index], DataFrame] | Non
     rarest = np.argsort(counts, kind="stable")
     codes, counts = np.argsort(rarest, kind="stable")[codes], counts[rarest]
     starts, docs = np.concatenate([[0], np.cumsum(counts)]), of[np.argsort(codes, kind="stable")]
-    common = int(np.searchsorted(counts, n / MARKED, side="right"))
+    common = max(int(np.searchsorted(counts, n / MARKED, side="right")), len(counts) - MARKS // max(1, n))
     marks = np.zeros((len(counts) - common, n), dtype=bool)
     marks[codes[codes >= common] - common, of[codes >= common]] = True
     weights = np.round(1000 * np.log(1 + n / np.maximum(counts, 1))).astype(np.int64)
